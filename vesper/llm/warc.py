@@ -14,7 +14,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, pow2, shared_dir
+from .common import cut, shared_dir
 
 CHUNK = 1 << 16
 EPOCH = "2024-01-01T00:00:00Z"
@@ -65,13 +65,12 @@ def _head(r: dict) -> bytes:
 def write(recs: DataFrame, folder: str, partitions: int | None = None, chunk: int = CHUNK, level: int = 1) -> DataFrame:
     """Writes gzipped WARC files (a member for each record) to folder, which all executors and readers must share.
 
-    Returns the manifest: archive (URI), records, bytes. A task streams its chunk rows in order of record and chunk
-    through one compressor and never holds a record. It writes under a name of its own and renames when done, so a
+    Returns the manifest: archive (URI), records, bytes. Each partition of recs becomes an archive (`partitions` of
+    them, if given). A record's chunk rows follow one another; a task streams them through one compressor and never
+    holds a record. It writes under a name of its own and renames when done, so a
     task that runs twice leaves one whole archive. Empty input: no archives.
     """
-    rows = chunks(recs, chunk)
-    rows = rows.repartition(partitions, "record_id") if partitions else rows.repartition("record_id")
-    rows = rows.sortWithinPartitions("record_id", "payload_digest", "url", "chunk")
+    rows = chunks(recs.repartition(partitions, "record_id") if partitions else recs, chunk)
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -193,7 +192,7 @@ def archive(pages: DataFrame, folder: str | None = None, **names: str) -> DataFr
     """Writes every page to WARC archives below folder (by default in the shared checkpoint folder); their manifest."""
     spark = pages.sparkSession
     folder = folder or f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    return write(records(pages, **names), folder, pow2(pages.count() / 1000, 4, 1 << 17))
+    return write(records(pages, **names), folder)
 
 
 def verdict(table: DataFrame) -> Column:
