@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, search, secrets, warc
+from . import language, mixing, packing, quality, search, secrets, warc
 from .common import table
 
 
@@ -15,6 +15,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(language.remainder() != 2))
+    return language.identify(docs.select("doc_id", "text", (language.remainder() == 2).alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
@@ -39,6 +45,7 @@ def op10_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_rules": op2_quality_rules,
+        "op4_language_id": op4_language_id,
         "op8_secret_scan": op8_secret_scan,
         "op6_mix_sources": op6_mix_sources,
         "op7_best_fit_packing": op7_best_fit_packing,
