@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, packing, quality, search, secrets, warc
+from . import language, mixing, neardup, packing, quality, search, secrets, warc
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.select("doc_id", "text", (language.remainder() == 2).alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_rules": op2_quality_rules,
         "op4_language_id": op4_language_id,
+        "op5_minhash_neardup": op5_minhash_neardup,
         "op8_secret_scan": op8_secret_scan,
         "op6_mix_sources": op6_mix_sources,
         "op7_best_fit_packing": op7_best_fit_packing,
