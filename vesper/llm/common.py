@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -61,3 +62,11 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, ou
     sums = sums.select(*keys, "_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))
     within = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("_in", F.sum(value).over(within)).join(sums, [*keys, "_b"]).withColumn(out, F.col("_before") + F.col("_in")).drop("_b", "_before", "_in")
+
+
+def stash(df: DataFrame) -> DataFrame:
+    """As cut(), for larger tables: compressed Parquet in the shared checkpoint folder, read back."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/stash-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
