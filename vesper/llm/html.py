@@ -12,6 +12,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|itemprop)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -267,15 +268,15 @@ def extract(pages: DataFrame, html_col: str = "html", model: Crf | None = None)
     Null or empty html, or no main text: an empty text. Columns named text or n_chars are replaced. Repeated rows:
     each is extracted. Empty table: no rows.
     """
-    pages = pages.drop("text", "n_chars") if html_col != "text" else pages.drop("n_chars")
+    kept = [c for c in pages.columns if c not in ("text", "n_chars")]
+    rows = pages.select(F.col(f"`{html_col}`").alias("_html_"), *[F.col(f"`{c}`") for c in kept])
     shared = pages.sparkSession.sparkContext.broadcast(model or default_model())  # fixed size
-    names = pages.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [main_text(x, shared.value) for x in part.column(names.index(html_col)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*names, "text", "n_chars"])
+                texts = [main_text(x, shared.value) for x in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*kept, "text", "n_chars"])
 
-    return pages.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema), "text string", "n_chars long"]))
+    return rows.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]), "text string", "n_chars long"]))

@@ -54,7 +54,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     queued = cut(queued.select("_id", "_rank", "_md5", "size", "source_size", "target", "_cum"))
 
     def finish(e: int):
-        return (F.col("source_size") * e + F.col("_cum")) / F.col("target")
+        return F.try_divide((F.col("source_size") * e + F.col("_cum")).cast("double"), F.col("target"))
 
     bins = pow2(n / 64, 4096, 1 << 20)
     copies = queued.where("size > 0").select("*", F.explode(F.array(*[F.struct(F.lit(e).alias("e"), finish(e).alias("v")) for e in range(max_repeats)])).alias("c")).select("size", F.struct("c.v", "_rank", "_md5", "_id", "c.e").alias("key"))

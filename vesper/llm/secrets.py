@@ -82,24 +82,28 @@ def _random(value: Column) -> Column:
     return out & ~value.rlike(ALLOWED)
 
 
+def _found(docs: DataFrame, text_col: str) -> DataFrame:
+    """row (all columns of docs), text and spans; columns of any name are safe in row."""
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_or_empty(F.col(f"`{text_col}`")).alias("text"))
+    held = held.withColumn("base", F.concat(F.filter(_spans(F.col("text"), ASSIGN, 0, 2), lambda x: F.length(x["value"]) >= 12), _spans(F.col("text"), ACCESS, 1), _spans(F.col("text"), HEX, 2)))
+    held = held.withColumn("more", _spans(F.col("text"), CANDIDATE, 3))
+    free = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    held = held.withColumn("more", F.when(F.size("more") > 0, F.filter(F.filter("more", free), lambda x: _random(x["value"]))).otherwise(F.col("more")))
+    ordered = F.array_sort(F.transform(F.concat("base", "more"), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
+    kinds = F.array(*map(F.lit, KINDS))
+    spans = F.transform(ordered, lambda x: F.struct(F.get(kinds, x["kind"]).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+    return held.select("row", "text", spans.alias("spans"))
+
+
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds `spans` to docs: array of (kind, start, end), code points, end exclusive, by start and then kind.
 
     assign (a value of 12 or more after a key's name), access, hex, and entropy: candidate strings of 20 or more
     characters that overlap none of those, some window of which is as random as its character class asks, and that
     no allow-list pattern matches. Works on DataFrame functions alone, over the whole text. Null or empty text: no
-    spans. All columns and rows of docs stay.
+    spans. All other columns and all rows of docs stay; a column named spans is replaced. Empty table: no rows.
     """
-    t = text_or_empty(text_col)
-    held = docs.withColumn("_text", t)
-    held = held.withColumn("_base", F.concat(F.filter(_spans(F.col("_text"), ASSIGN, 0, 2), lambda x: F.length(x["value"]) >= 12), _spans(F.col("_text"), ACCESS, 1), _spans(F.col("_text"), HEX, 2)))
-    held = held.withColumn("_more", _spans(F.col("_text"), CANDIDATE, 3))
-    free = lambda x: ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    held = held.withColumn("_more", F.when(F.size("_more") > 0, F.filter(F.filter("_more", free), lambda x: _random(x["value"]))).otherwise(F.col("_more")))
-    ordered = F.array_sort(F.transform(F.concat("_base", "_more"), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
-    kinds = F.array(*map(F.lit, KINDS))
-    spans = F.transform(ordered, lambda x: F.struct(F.get(kinds, x["kind"]).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    return held.withColumn("spans", spans).drop("_text", "_base", "_more")
+    return _found(docs, text_col).select(*[F.col(f"row.`{c}`") for c in docs.columns if c != "spans"], "spans")
 
 
 def joined(spans: Column) -> Column:
@@ -108,15 +112,15 @@ def joined(spans: Column) -> Column:
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = MARK) -> DataFrame:
     """docs with each secret (overlapping spans are one) of text_col replaced by `mark`; null stays null."""
-    text, begin = F.col(text_col), F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    text, begin = F.col("text"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         fresh = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when((x["start"] >= acc["at"]) & ((x["start"] > 0) | (acc["at"] == 0)), fresh).otherwise(acc["out"]).alias("out"))
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when((x["start"] >= acc["at"]), fresh).otherwise(acc["out"]).alias("out"))
 
     done = F.aggregate("spans", begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    found = scan(docs.withColumnsRenamed({"spans": "_spans"} if "spans" in docs.columns else {}), text_col)
-    return found.withColumn(text_col, F.when(F.size("spans") > 0, done).otherwise(text)).drop("spans").withColumnsRenamed({"_spans": "spans"})
+    clean = F.when(F.size("spans") > 0, done).otherwise(F.col(f"row.`{text_col}`")).alias(text_col)
+    return _found(docs, text_col).select(*[clean if c == text_col else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
