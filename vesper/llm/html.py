@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|itemprop)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -269,7 +270,7 @@ def extract(pages: DataFrame, html_col: str = "html", model: Crf | None = None)
     each is extracted. Empty table: no rows.
     """
     kept = [c for c in pages.columns if c not in ("text", "n_chars")]
-    rows = pages.select(F.col(f"`{html_col}`").alias("_html_"), *[F.col(f"`{c}`") for c in kept])
+    rows = pages.select(F.col(f"`{html_col}`").alias("html"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"))
     shared = pages.sparkSession.sparkContext.broadcast(model or default_model())  # fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,6 +278,7 @@ def extract(pages: DataFrame, html_col: str = "html", model: Crf | None = None)
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = [main_text(x, shared.value) for x in part.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*kept, "text", "n_chars"])
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["row", "text", "n_chars"])
 
-    return rows.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]), "text string", "n_chars long"]))
+    found = rows.mapInArrow(run, StructType([rows.schema["row"], StructField("text", StringType()), StructField("n_chars", LongType())]))
+    return found.select(*[F.col(f"row.`{c}`") for c in kept], "text", "n_chars")
