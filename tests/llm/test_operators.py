@@ -241,8 +241,8 @@ def test_near_duplicates(spark, monkeypatch):
     rows += [(200, None), (201, ""), (202, "one"), (203, "ONE"), (204, "a b"), (205, "a  B"), (206, rows[70][1]), (207, " \n"), (300, " ".join(rng.choices(vocabulary, k=20000)))]
     expected = neardup_brute(rows)
     for block in (7, 256):
-        monkeypatch.setattr(neardup, "BLOCK", block)
-        monkeypatch.setattr(neardup.in_blocks, "__defaults__", (block,))
+        monkeypatch.setattr(neardup, "SIGN_BLOCK", block)
+        monkeypatch.setattr(neardup, "SET_BLOCK", block)
         out = {r["doc_id"]: r for r in neardup.near_duplicates(clashing(docs(spark, rows))).collect()}
         assert {d: (r["n_shingles"], r["component_id"]) for d, r in out.items()} == expected
         assert all(r["kept"] == (d == r["component_id"]) for d, r in out.items())

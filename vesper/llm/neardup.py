@@ -14,7 +14,8 @@ from .components import components, local_components
 
 #: Coordinates of a signature, and how many must collide. A pair of similarity 0.85 has fewer than 17 collisions in 32 with a probability of about 2e-6, one of 0.8 with about 2e-4.
 COORDINATES, MATCHES = 32, 17
-BLOCK = 256
+#: Rows of a block of signatures, and of whole sets.
+SIGN_BLOCK, SET_BLOCK = 1024, 256
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -111,13 +112,13 @@ def postings(classes: DataFrame, hot: dict[int, int]) -> DataFrame:
     return classes.select("rep", "sign").mapInArrow(run, "token long, rep long")
 
 
-def in_blocks(rows: DataFrame, key: str, payload: list[str], work: Callable[[np.ndarray, np.ndarray, list], tuple[np.ndarray, np.ndarray]], block: int = BLOCK) -> DataFrame:
+def in_blocks(rows: DataFrame, key: str, payload: list[str], work: Callable[[np.ndarray, np.ndarray, list], tuple[np.ndarray, np.ndarray]], block: int) -> DataFrame:
     """Edges (a, b) among rows (key, rep, payload) of equal key, without a task for a whole large key.
 
     Keys of one row are dropped. A key of m rows is dealt to ceil(m / block) blocks by a hash of rep, and each pair of its
     blocks is a group of its own, with at most about 2 * block rows. work(group, rep, payload) gets whole groups,
     as many as make a batch, and returns the positions of matching rows; only the edges of a spanning star of each
-    connected set of a group go out.
+    connected set of the batch go out.
     """
     counts = rows.groupBy(key).agg(F.count("*").alias("_m")).where("_m > 1").select(F.col(key).alias("_key"), F.ceil(F.col("_m") / block).cast("int").alias("_nb"))
     mine = F.pmod(F.xxhash64("rep"), F.col("_nb")).cast("int")
@@ -134,7 +135,10 @@ def in_blocks(rows: DataFrame, key: str, payload: list[str], work: Callable[[np.
             a, b = work(np.cumsum(new) - 1, rep, [t[c] for c in payload])
             label = local_components(len(rep), a, b)
             node = np.flatnonzero(label != np.arange(len(rep)))
-            return pa.RecordBatch.from_arrays([pa.array(rep[node]), pa.array(rep[label[node]])], ["a", "b"])
+            ids, ends = np.unique(np.concatenate([rep[node], rep[label[node]]]), return_inverse=True)
+            label = local_components(len(ids), ends[: len(node)], ends[len(node) :])  # of all groups of the batch
+            node = np.flatnonzero(label != np.arange(len(ids)))
+            return pa.RecordBatch.from_arrays([pa.array(ids[node], pa.int64()), pa.array(ids[label[node]], pa.int64())], ["a", "b"])
 
         size = 0
         for batch in batches:
@@ -226,11 +230,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         tokens = _token_counts(classes, max(64, total // 1000))
         posted = postings(classes, tokens)
         signed = cut(posted.join(posted.groupBy("token").count().where("count > 1").select("token"), "token")).join(classes.select("rep", "sign"), "rep")
-        families = components(in_blocks(signed, "token", ["sign"], _collide))
+        families = components(in_blocks(signed, "token", ["sign"], _collide, SIGN_BLOCK))
         members = families.select(F.col("node").alias("rep"), F.col("component").alias("family"))
         texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
         sets = _sets(texts.join(members, "rep"), n)
-        links = components(in_blocks(sets, "family", ["shingles"], _linked(percent)))
+        links = components(in_blocks(sets, "family", ["shingles"], _linked(percent), SET_BLOCK))
     else:
         links = classes.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0)
     placed = classes.select("h1", "h2", F.col("n_shingles").alias("_n"), "rep").join(links, F.col("rep") == F.col("node"), "left").select("h1", "h2", "_n", F.coalesce("component", "rep").alias("component_id"))
