@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import Sampling
 from ..functions.sampling import sample_timestamps
@@ -65,8 +66,8 @@ def encode(rows: DataFrame, make: Callable[[], Encoder], content: str = "content
                 outcome = ["processed" if m is None else "skipped" for m in messages]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(vectors, pa.list_(pa.float32())), pa.array(outcome), pa.array(messages, pa.string())], [*names, "vector", "outcome", "message"])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != content]
-    return rows.mapInArrow(run, ", ".join([*fields, "vector array<float>, outcome string, message string"]))
+    new = [T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("outcome", T.StringType()), T.StructField("message", T.StringType())]
+    return rows.mapInArrow(run, T.StructType([*(f for f in rows.schema.fields if f.name != content), *new]))
 
 
 def sample_points(videos: DataFrame, duration: str = "duration", cfg: Sampling = Sampling()) -> DataFrame:
