@@ -38,7 +38,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     its label, and drops edges whose ends agree; both ends of others are replaced by their labels, so that the graph
     shrinks. Labels are kept in checkpoints; the driver sees one count a round.
     """
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
+    both = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v"))
     labels = both.select(F.explode(F.array("u", "v")).alias("node")).distinct().select("node", F.col("node").alias("component"))
     labels, live = cut(labels), cut(both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while live.limit(1).count():

@@ -112,15 +112,16 @@ def postings(classes: DataFrame, hot: dict[int, int]) -> DataFrame:
     return classes.select("rep", "sign").mapInArrow(run, "token long, rep long")
 
 
-def in_blocks(rows: DataFrame, key: str, payload: list[str], work: Callable[[np.ndarray, np.ndarray, list], tuple[np.ndarray, np.ndarray]], block: int) -> DataFrame:
+def in_blocks(rows: DataFrame, keys: DataFrame, key: str, payload: list[str], work: Callable[[np.ndarray, np.ndarray, list], tuple[np.ndarray, np.ndarray]], block: int) -> DataFrame:
     """Edges (a, b) among rows (key, rep, payload) of equal key, without a task for a whole large key.
 
+    keys has a row for each of rows with its key alone, from which they are counted: rows themselves are made once.
     Keys of one row are dropped. A key of m rows is dealt to ceil(m / block) blocks by a hash of rep, and each pair of its
     blocks is a group of its own, with at most about 2 * block rows. work(group, rep, payload) gets whole groups,
     as many as make a batch, and returns the positions of matching rows; only the edges of a spanning star of each
     connected set of the batch go out.
     """
-    counts = rows.groupBy(key).agg(F.count("*").alias("_m")).where("_m > 1").select(F.col(key).alias("_key"), F.ceil(F.col("_m") / block).cast("int").alias("_nb"))
+    counts = keys.groupBy(key).agg(F.count("*").alias("_m")).where("_m > 1").select(F.col(key).alias("_key"), F.ceil(F.col("_m") / block).cast("int").alias("_nb"))
     mine = F.pmod(F.xxhash64("rep"), F.col("_nb")).cast("int")
     dealt = rows.join(counts, F.col(key) == F.col("_key")).withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
     dealt = dealt.select(F.col(key).alias("k"), F.least("_mine", "_other").alias("lo"), F.greatest("_mine", "_other").alias("hi"), "rep", *payload)
@@ -229,12 +230,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if total > 1:
         tokens = _token_counts(classes, max(64, total // 1000))
         posted = postings(classes, tokens)
-        signed = cut(posted.join(posted.groupBy("token").count().where("count > 1").select("token"), "token")).join(classes.select("rep", "sign"), "rep")
-        families = components(in_blocks(signed, "token", ["sign"], _collide, SIGN_BLOCK))
+        posted = cut(posted.join(posted.groupBy("token").count().where("count > 1").select("token"), "token"))
+        signed = posted.join(classes.select("rep", "sign"), "rep")
+        families = components(in_blocks(signed, posted.select("token"), "token", ["sign"], _collide, SIGN_BLOCK))
         members = families.select(F.col("node").alias("rep"), F.col("component").alias("family"))
         texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
         sets = _sets(texts.join(members, "rep"), n)
-        links = components(in_blocks(sets, "family", ["shingles"], _linked(percent), SET_BLOCK))
+        links = components(in_blocks(sets, members.select("family"), "family", ["shingles"], _linked(percent), SET_BLOCK))
     else:
         links = classes.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0)
     placed = classes.select("h1", "h2", F.col("n_shingles").alias("_n"), "rep").join(links, F.col("rep") == F.col("node"), "left").select("h1", "h2", "_n", F.coalesce("component", "rep").alias("component_id"))
