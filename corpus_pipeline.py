@@ -3,41 +3,57 @@
 from __future__ import annotations
 
 import uuid
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vesper.llm import language, mixing, neardup, packing, secrets
 from vesper.llm.common import shared_dir, table
+from vesper.session import ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Texts whose best language scores less are rejected; a text of a known language scores about 1, an unsure one about 0.5.
 MIN_SCORE = 0.25
 
 
+def stage(function):
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return function(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@stage
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts that are null, have no letter, or fit no language; learns from the folds that aren't held out."""
     model = language.fit(docs.where(language.remainder() != 2))
     return language.identify(docs, model).where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*COLUMNS)
 
 
+@stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of smallest doc_id of each group of near-duplicates."""
     kept = neardup.near_duplicates(docs).where("kept").select("doc_id")
     return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
 
 
+@stage
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets by a mark; n_chars follows."""
     return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+@stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, none to three times. Rows of equal doc_id are taken alike."""
     copies = mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").alias("_copies")).where("_copies > 0")
     return docs.join(copies, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*COLUMNS)
 
 
+@stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(docs))
 
@@ -56,8 +72,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
+    for k, (_, apply) in enumerate(STAGES):
+        out = apply(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
             return out
         out.write.parquet(f"{folder}/{k}")
