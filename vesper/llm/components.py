@@ -43,7 +43,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     labels, live = cut(labels), cut(both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while live.limit(1).count():
         down = live.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
-        low = down.groupBy("u").agg(F.min("v").alias("m")).where("m < u")
+        low = cut(down.groupBy("u").agg(F.min("v").alias("m")).where("m < u"))  # so that a hub's rows can be split in the join
         root = low.alias("x").join(low.alias("y"), F.col("x.m") == F.col("y.u"), "left").select(F.col("x.u").alias("was"), F.coalesce("y.m", "x.m").alias("to"))
         root = cut(root)
         first, second = root.select(F.col("was").alias("w1"), F.col("to").alias("t1")), root.select(F.col("was").alias("w2"), F.col("to").alias("t2"))
