@@ -223,8 +223,9 @@ def repeated(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, block: in
        windows that they share.
     """
     runs = anchored(texts, length, gram)
-    shared = runs.select("anchor", "content").groupBy("anchor").agg(F.count("*").alias("_n"), F.min("content").alias("_lo"), F.max("content").alias("_hi")).where("_n > 1").select(F.col("anchor").alias("_anchor"), (F.col("_lo") == F.col("_hi")).alias("whole"))
-    shared = runs.join(shared, F.col("anchor") == F.col("_anchor"))
+    counts = runs.select("anchor", "content").groupBy("anchor").agg(F.count("*").alias("_n"), F.min("content").alias("_lo"), F.max("content").alias("_hi")).where("_n > 1").select(F.col("anchor").alias("_anchor"), (F.col("_lo") == F.col("_hi")).alias("whole"))
+    counts = stash(counts)  # so that the rows of a frequent anchor can be split in the join
+    shared = runs.join(counts, F.col("anchor") == F.col("_anchor"))
     shared = stash(shared.select(F.when(~F.col("whole"), F.col("anchor")).alias("anchor"), F.when(~F.col("whole"), F.col("content")).alias("content"), "doc", "first", "last", F.when(~F.col("whole"), F.col("lead")).alias("lead"), "whole"))
     mixed = shared.where("not whole")
     kinds = mixed.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("doc", "first", "last", "lead")).alias("one"))
