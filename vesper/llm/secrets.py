@@ -87,7 +87,7 @@ def _found(docs: DataFrame, text_col: str) -> DataFrame:
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_or_empty(F.col(f"`{text_col}`")).alias("text"))
     held = held.withColumn("base", F.concat(F.filter(_spans(F.col("text"), ASSIGN, 0, 2), lambda x: F.length(x["value"]) >= 12), _spans(F.col("text"), ACCESS, 1), _spans(F.col("text"), HEX, 2)))
     held = held.withColumn("more", _spans(F.col("text"), CANDIDATE, 3))
-    free = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    free = lambda x: ~F.exists("base", lambda b: (b["start"] <= x["start"]) & (x["end"] <= b["end"]))
     held = held.withColumn("more", F.when(F.size("more") > 0, F.filter(F.filter("more", free), lambda x: _random(x["value"]))).otherwise(F.col("more")))
     ordered = F.array_sort(F.transform(F.concat("base", "more"), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
     kinds = F.array(*map(F.lit, KINDS))
@@ -99,7 +99,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds `spans` to docs: array of (kind, start, end), code points, end exclusive, by start and then kind.
 
     assign (a value of 12 or more after a key's name), access, hex, and entropy: candidate strings of 20 or more
-    characters that overlap none of those, some window of which is as random as its character class asks, and that
+    characters that lie within none of those, some window of which is as random as its character class asks, and that
     no allow-list pattern matches. Works on DataFrame functions alone, over the whole text. Null or empty text: no
     spans. All other columns and all rows of docs stay; a column named spans is replaced. Empty table: no rows.
     """
