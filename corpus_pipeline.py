@@ -13,8 +13,9 @@ from vesper.llm.common import shared_dir, table
 from vesper.session import ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Texts whose best language scores less are rejected; a text of a known language scores about 1, an unsure one about 0.5.
-MIN_SCORE = 0.25
+#: A text is rejected if its best score is less than MIN_SCORE of the way from 1 / L to 1 (with L languages the margins sum to 2 - L, so that no best
+#: score is below 1 / L), and less than MIN_KNOWN of its trigrams occur in a landmark: a text between two languages is unsure, but not unknown.
+MIN_SCORE, MIN_KNOWN = 0.25, 0.95
 
 
 def stage(function):
@@ -28,9 +29,12 @@ def stage(function):
 
 @stage
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts that are null, have no letter, or fit no language; learns from the folds that aren't held out."""
+    """Rejects texts that are null, have no letter, or fit no language; learns from the folds that aren't held out.
+
+    Where a single language is learned, every text with a letter scores 1 and stays: there is nothing to tell it from.
+    """
     model = language.fit(docs.where(language.remainder() != 2))
-    return language.identify(docs, model).where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*COLUMNS)
+    return language.identify(docs, model, fits=(MIN_SCORE, MIN_KNOWN)).where("fits").select(*COLUMNS)
 
 
 @stage

@@ -108,3 +108,22 @@ def test_stages_keep_the_columns_of_documents(spark, sf_dir):
         docs = stage(spark, docs, sf_dir)
         assert docs.columns == list(corpus_pipeline.COLUMNS)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "minhash_near_dedup", "secret_scan", "source_mixing", "best_fit_packing"]
+
+
+def test_unknown_languages_and_letter_junk_are_rejected(spark):
+    import duckdb
+
+    clean = duckdb.sql("SELECT doc_id, text, lang, source, n_chars FROM '/root/testdata/sf0.01/documents.parquet' WHERE lang <> 'fr' AND n_chars > 300 ORDER BY doc_id").fetchall()
+    strange = duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' WHERE lang = 'fr' AND n_chars > 300 ORDER BY doc_id").fetchall()
+    rng = random.Random(3)
+    held = [i for i in range(10**6, 10**6 + 2000) if zlib.crc32(str(i).encode()) % 4 == 2]  # not learned from
+    junk = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 10))) for _ in range(40)) for _ in range(100)]
+    odd = {i: t for i, t in zip(held, junk + [t for (t,) in strange[:100]], strict=False)}
+    docs = spark.createDataFrame(clean + [(i, t, None, "a", len(t)) for i, t in odd.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, "").select("doc_id").collect()}
+    assert len(odd) == 200
+    assert not any(i in kept for i in list(odd)[:100])  # junk
+    assert sum(i in kept for i in list(odd)[100:]) <= 20  # French, where no French was learned
+    assert sum(r[0] in kept for r in clean) >= 0.99 * len(clean)
+    one = spark.createDataFrame([(i, "the cat", "en", "a", 7) for i in range(8)], docs.schema)
+    assert corpus_pipeline.identify_language(spark, one, "").count() == 8

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 ORDERS = (1, 2, 3)
 SLOTS = 20  # bits
@@ -75,6 +75,24 @@ class Model:
             langs[i], scores[i] = self.langs[best], float(min(1.0, max(0.0, (float(m[best]) + 1) / 2)))
         return langs, scores
 
+    def known(self, text: str) -> float:
+        """The share of a text's n-grams of the highest order that occur in a landmark."""
+        n, total, found = max(self.orders), 0, 0
+        for at in range(0, len(text), PIECE):
+            for slots in _slots(text[at : at + PIECE + n - 1], (n,)):
+                total += len(slots)
+                found += int((self.columns[slots] >= 0).sum())
+        return found / total if total else 1.0
+
+    def fits(self, texts: list[str | None], langs: list[str], scores: list[float], sure: float, known: float) -> list[bool]:
+        """Whether each text is of a learned language: its score is `sure` of the way from 1 / L to 1, or `known` of its n-grams are known.
+
+        Every best score of L languages is 1 / L or more, as margins sum to 2 - L. With one language it's always 1, and each text with a letter fits.
+        """
+        floor = 1 / max(1, len(self.langs))
+        least = floor + sure * (1 - floor) if len(self.langs) > 1 else 0.0
+        return [lang != UNKNOWN and (score >= least or self.known(text) >= known) for text, lang, score in zip(texts, langs, scores, strict=True)]
+
 
 def train(rows: list[tuple[str, str]], landmarks: int = 64, ridge: float = 1e-3, orders: tuple[int, ...] = ORDERS) -> Model:
     """A model of (text, lang) rows; the first `landmarks` texts of each language are landmarks."""
@@ -122,13 +140,15 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per
     return train(sample(labelled, text_col, lang_col, per_language), landmarks)
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: Model, text_col: str = "text", fits: tuple[float, float] | None = None) -> DataFrame:
     """Adds lang_pred and score (0 to 1) to docs, from the whole text alone.
 
     `und`, score 0: null, empty and letterless texts, and every text if the model learned no language. Repeated rows:
-    each is predicted. Columns of docs named lang_pred or score are replaced. Empty table: no rows.
+    each is predicted. Columns of docs named lang_pred or score are replaced. Empty table: no rows. With `fits`, the
+    bounds of Model.fits, its verdict is added as a column of that name.
     """
-    docs = docs.drop("lang_pred", "score")
+    added = [StructField("lang_pred", StringType()), StructField("score", DoubleType())] + [StructField("fits", BooleanType())] * (fits is not None)
+    docs = docs.drop(*[f.name for f in added])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some MB, whatever the input
     names = docs.columns
 
@@ -136,10 +156,14 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                langs, scores = shared.value.predict(part.column(names.index(text_col)).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
-
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+                texts = part.column(names.index(text_col)).to_pylist()
+                langs, scores = shared.value.predict(texts)
+                own = [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+                if fits is not None:
+                    own.append(pa.array(shared.value.fits(texts, langs, scores, *fits), pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*part.columns, *own], [*names, *(f.name for f in added)])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *added]))
 
 
 def remainder(id_col: str = "doc_id"):
