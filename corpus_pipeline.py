@@ -16,6 +16,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A text is rejected if its best score is less than MIN_SCORE of the way from 1 / L to 1 (with L languages the margins sum to 2 - L, so that no best
 #: score is below 1 / L), and less than MIN_KNOWN of its trigrams occur in a landmark: a text between two languages is unsure, but not unknown.
 MIN_SCORE, MIN_KNOWN = 0.25, 0.95
+#: Near-duplicates share so many percent of their shingles of so many words.
+SHINGLE, PERCENT = 5, 80
 
 
 def stage(function):
@@ -40,7 +42,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 @stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of smallest doc_id of each group of near-duplicates."""
-    kept = neardup.near_duplicates(docs).where("kept").select("doc_id")
+    kept = neardup.near_duplicates(docs, n=SHINGLE, percent=PERCENT).where("kept").select("doc_id")
     return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
 
 

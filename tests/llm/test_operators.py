@@ -267,6 +267,24 @@ def test_postings_prefix_keeps_every_pair(spark):
     assert all(posted[0] & posted[i] for i in range(1, 21))
 
 
+def test_matches_follow_from_percent(spark):
+    miss = lambda m, p: sum(math.comb(32, k) * p**k * (1 - p) ** (32 - k) for k in range(m))
+    assert neardup.least_matches(85) == neardup.MATCHES and neardup.least_matches(100) == 32
+    for percent in range(40, 100):
+        m = neardup.least_matches(percent)
+        assert miss(m, percent / 100) <= neardup.MISS < miss(m + 1, percent / 100)
+    with pytest.raises(ValueError):
+        neardup.least_matches(20)
+    rng = random.Random(4)  # pairs of similarity a little over 0.5: texts of 100 shingles, and copies with 98 more
+    rows = []
+    for i in range(0, 80, 2):
+        w = [f"{i}w{k}" for k in range(200)]
+        rows += [(i, " ".join(w[:102])), (i + 1, " ".join(w))]
+    rng.shuffle(rows)
+    out = neardup.near_duplicates(docs(spark, rows), percent=50).collect()
+    assert [r["doc_id"] for r in out if r["kept"] != (r["doc_id"] % 2 == 0)] == []
+
+
 def test_components(spark):
     rng = random.Random(6)
     for n, m in ((2, 1), (30, 20), (60, 70)):

@@ -127,3 +127,12 @@ def test_unknown_languages_and_letter_junk_are_rejected(spark):
     assert sum(r[0] in kept for r in clean) >= 0.99 * len(clean)
     one = spark.createDataFrame([(i, "the cat", "en", "a", 7) for i in range(8)], docs.schema)
     assert corpus_pipeline.identify_language(spark, one, "").count() == 8
+
+
+def test_copies_with_a_fifth_more_text_are_near_duplicates(spark):
+    rows = []
+    for i in range(0, 40, 2):
+        w = [f"{i}w{k}" for k in range(244)]
+        rows += [(i, " ".join(w[:204]), "en", "a", 0), (i + 1, " ".join(w), "en", "a", 0)]  # 200 of 240 five-word shingles
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == list(range(0, 40, 2))

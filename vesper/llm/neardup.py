@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 from .common import cut
 from .components import components, local_components
 
-#: Coordinates of a signature, and how many must collide. A pair of similarity 0.85 has fewer than 17 collisions in 32 with a probability of about 2e-6, one of 0.8 with about 2e-4.
-COORDINATES, MATCHES = 32, 17
+#: Coordinates of a signature, how many must collide for similarity 0.85, and the probability that a pair of the least similarity has fewer.
+COORDINATES, MATCHES, MISS = 32, 17, 4e-6
 #: Rows of a block of signatures, and of whole sets.
 SIGN_BLOCK, SET_BLOCK = 1024, 256
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -85,11 +86,21 @@ def _tokens(signs: np.ndarray) -> np.ndarray:
     return _mix((np.arange(COORDINATES, dtype=np.uint64) << np.uint64(32)) + signs + _A).view(np.int64)
 
 
-def postings(classes: DataFrame, hot: dict[int, int]) -> DataFrame:
-    """token, rep, sign for the COORDINATES - MATCHES + 1 rarest coordinate-value pairs of each class.
+def least_matches(percent: int) -> int:
+    """The most collisions that can be asked for, so that a pair of similarity percent / 100 has fewer with a probability of at most MISS."""
+    p, m, fewer = percent / 100, 0, 0.0
+    while m < COORDINATES and (fewer := fewer + math.comb(COORDINATES, m) * p**m * (1 - p) ** (COORDINATES - m)) <= MISS:
+        m += 1
+    if not m:
+        raise ValueError(f"{COORDINATES} coordinates can't find pairs of {percent} % with a miss probability of {MISS}")
+    return m
 
-    Any order that is the same for all classes will do: two signatures that agree in MATCHES coordinates then share
-    a posting among these, so the MATCHES - 1 longest lists of each class are skipped and only counted in pairs found
+
+def postings(classes: DataFrame, hot: dict[int, int], matches: int = MATCHES) -> DataFrame:
+    """token, rep, sign for the COORDINATES - matches + 1 rarest coordinate-value pairs of each class.
+
+    Any order that is the same for all classes will do: two signatures that agree in `matches` coordinates then share
+    a posting among these, so the matches - 1 longest lists of each class are skipped and only counted in pairs found
     elsewhere.
     """
     shared = classes.sparkSession.sparkContext.broadcast((np.array(sorted(hot), np.int64), np.array([hot[k] for k in sorted(hot)], np.int64)))
@@ -105,7 +116,7 @@ def postings(classes: DataFrame, hot: dict[int, int]) -> DataFrame:
                 if len(keys):
                     where = np.minimum(np.searchsorted(keys, tokens), len(keys) - 1)
                     often = np.where(keys[where] == tokens, counts[where], 0)
-                order = np.lexsort((tokens, often), axis=1)[:, : COORDINATES - MATCHES + 1]
+                order = np.lexsort((tokens, often), axis=1)[:, : COORDINATES - matches + 1]
                 rows = np.repeat(np.arange(len(tokens)), order.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(np.take_along_axis(tokens, order, 1).ravel()), part.column("rep").take(pa.array(rows))], ["token", "rep"])
 
@@ -162,20 +173,23 @@ def in_blocks(rows: DataFrame, keys: DataFrame, key: str, payload: list[str], wo
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _collide(group: np.ndarray, rep: np.ndarray, payload: list) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a group whose signatures agree in MATCHES coordinates or more."""
-    signs = np.frombuffer(b"".join(payload[0].to_pylist()), np.uint32).reshape(-1, COORDINATES)
-    a, b = [], []
-    for step in range(1, len(group)):
-        i = np.flatnonzero(group[:-step] == group[step:])
-        if not len(i):
-            break
-        for at in range(0, len(i), 1 << 16):
-            j = i[at : at + (1 << 16)]
-            hit = j[(signs[j] == signs[j + step]).sum(axis=1) >= MATCHES]
-            a.append(hit)
-            b.append(hit + step)
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, int), np.zeros(0, int))
+def _collide(matches: int):
+    def work(group: np.ndarray, rep: np.ndarray, payload: list) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a group whose signatures agree in `matches` coordinates or more."""
+        signs = np.frombuffer(b"".join(payload[0].to_pylist()), np.uint32).reshape(-1, COORDINATES)
+        a, b = [], []
+        for step in range(1, len(group)):
+            i = np.flatnonzero(group[:-step] == group[step:])
+            if not len(i):
+                break
+            for at in range(0, len(i), 1 << 16):
+                j = i[at : at + (1 << 16)]
+                hit = j[(signs[j] == signs[j + step]).sum(axis=1) >= matches]
+                a.append(hit)
+                b.append(hit + step)
+        return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, int), np.zeros(0, int))
+
+    return work
 
 
 def _linked(percent: int):
@@ -215,7 +229,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, n_shingles, component_id (smallest id reachable over links), kept (it is the smallest).
 
     Documents with equal shingle sets form a class, which goes on as one. Classes are posted under the
-    coordinate-value pairs of their MinHash signature, the rarest first and only as many as MATCHES
+    coordinate-value pairs of their MinHash signature, the rarest first and only as many as least_matches(percent)
     needs; pairs met in a posting list count their collisions over the whole signature. Classes joined by enough of them
     make a family. In a family, blocks of whole shingle sets are held against each other: every pair in it is
     confirmed or refused exactly, and the links' components are the result. Long lists and large families are cut into
@@ -224,15 +238,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null text, or without words: an empty set, linked with nothing. Repeated ids: rows count as one document for links.
     Empty table: no rows. Other columns of docs are ignored.
     """
+    matches = least_matches(percent)
     profile = cut(profiles(docs, id_col, text_col, n))
     classes = cut(profile.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sign").alias("sign")))
     total = classes.count()
     if total > 1:
         tokens = _token_counts(classes, max(64, total // 1000))
-        posted = postings(classes, tokens)
+        posted = postings(classes, tokens, matches)
         posted = cut(posted.join(posted.groupBy("token").count().where("count > 1").select("token"), "token"))
         signed = posted.join(classes.select("rep", "sign"), "rep")
-        families = components(in_blocks(signed, posted.select("token"), "token", ["sign"], _collide, SIGN_BLOCK))
+        families = components(in_blocks(signed, posted.select("token"), "token", ["sign"], _collide(matches), SIGN_BLOCK))
         members = families.select(F.col("node").alias("rep"), F.col("component").alias("family"))
         texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
         sets = _sets(texts.join(members, "rep"), n)

@@ -30,7 +30,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=85)
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
