@@ -9,6 +9,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -344,6 +345,18 @@ def test_mixing_edges(spark):
     assert sorted(r["taken"] for r in mixing.mix(docs(spark, [(1, "a b", None, "s"), (1, "a b", None, "s")])).collect()) == [2, 2]
 
 
+def test_mixing_of_one_long_document_equals_sql(spark, tmp_path):
+    """A source of one document, whose virtual finish time is 5."""
+    rows = [(i, "w " * 10, None, "a") for i in range(400)] + [(1000 + i, "w " * 10, None, "b") for i in range(100)] + [(5000, "w " * 10000, None, "c")]
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    out = {r["doc_id"]: r["taken"] for r in mixing.mix(spark.read.parquet(str(tmp_path / "documents.parquet"))).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    at = [c[0] for c in con.execute(mixing.SQL_OP6).description]
+    assert out == {r[at.index("doc_id")]: r[at.index("taken")] for r in con.fetchall()}
+    assert out[5000] == 0 and sum(out.values()) <= 15000
+
+
 # --- 7 packing
 
 

@@ -40,7 +40,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     the sum of all sizes. The order depends on the rows alone, so reruns agree.
 
     Only three numbers reach the driver: the budget, the finish-time bin in which it runs out, and the last copy
-    taken, found by sorting that one bin. Null text: size 0. Size 0: taken 0. Null source: a source of its own,
+    taken, found by sorting that one bin. Every copy is in some bin, however late it finishes. Null text: size 0. Size 0: taken 0. Null source: a source of its own,
     last. Repeated ids: each row counts. Empty table: no rows. Other columns of docs are ignored.
     """
     shuffle = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
@@ -57,8 +57,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         return F.try_divide((F.col("source_size") * e + F.col("_cum")).cast("double"), F.col("target"))
 
     bins = pow2(n / 64, 4096, 1 << 20)
+
+    def bin_of(v):
+        """Never falls as v grows: bins of equal width up to 4, of equal ratio from there."""
+        return F.when(v < 4, F.floor(v * (bins // 4))).otherwise(bins + F.floor(F.log2(v / 4) * (bins // 16)))
+
     copies = queued.where("size > 0").select("*", F.explode(F.array(*[F.struct(F.lit(e).alias("e"), finish(e).alias("v")) for e in range(max_repeats)])).alias("c")).select("size", F.struct("c.v", "_rank", "_md5", "_id", "c.e").alias("key"))
-    binned = copies.where("key.v < 4").withColumn("bin", F.floor(F.col("key.v") * (bins // 4)))
+    binned = copies.withColumn("bin", bin_of(F.col("key.v")))
     filled = binned.groupBy("bin").agg(F.sum("size").alias("s")).withColumn("upto", F.sum("s").over(Window.orderBy("bin")))
     over = filled.where(F.col("upto") > budget).agg(F.min_by(F.struct("bin", (F.col("upto") - F.col("s")).alias("before")), "bin").alias("x")).first()["x"]
     taken = F.lit(max_repeats)
@@ -67,7 +72,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         key = last.where(F.col("upto") + over["before"] <= budget).agg(F.max("key").alias("key")).first()["key"]
         taken = F.lit(0)
         for e in range(max_repeats):
-            done = F.floor(finish(e) * (bins // 4)) < over["bin"]
+            done = bin_of(finish(e)) < over["bin"]
             if key is not None:
                 at = [finish(e), F.col("_rank"), F.col("_md5"), F.col("_id"), F.lit(e)]
                 upto = F.lit(True)
