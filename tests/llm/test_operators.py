@@ -206,6 +206,15 @@ def test_language_edges(spark):
     assert language.identify(docs(spark, [(1, "abc")]), language.fit(docs(spark, []))).first()["lang_pred"] == "und"
 
 
+def test_languages_of_copies_are_learned(spark):
+    """Copies of a text pass or fail the draw together: what counts is the number of different texts."""
+    rows = [(i, f"ko te reo {'abcdefghij'[i % 10]} taonga", "mi") for i in range(20000)] + [(10**6 + i, "le chat est sur le tapis", "fr") for i in range(10000)]
+    rows += [(2 * 10**6 + i, f"the cat {i}", "en") for i in range(2000)]
+    drawn = collections.Counter(lang for _, lang in language.sample(docs(spark, rows)))
+    assert drawn == {"mi": 10, "fr": 1, "en": 300}
+    assert collections.Counter(lang for _, lang in language.sample(docs(spark, rows), per_language=3)) == {"mi": 3, "fr": 1, "en": 3}
+
+
 # --- 5 near-duplicates
 
 

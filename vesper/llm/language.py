@@ -123,15 +123,17 @@ def train(rows: list[tuple[str, str]], landmarks: int = 64, ridge: float = 1e-3,
 def sample(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 300) -> list[tuple[str, str]]:
     """At most `per_language` whole texts of each language for training, those of smallest hash of the text.
 
-    This is the one thing the classifier learns from, and its size has this bound. Languages are counted first; rows
-    below a hash that about twice as many pass, and all of a rare language, are ranked on the executors.
+    This is the one thing the classifier learns from, and its size has this bound. Each language's different texts are
+    counted first, by their hash, as copies pass or fail together; texts below a hash that more than twice as many pass, and all of a
+    language with few, are ranked on the executors. Fewer than min(per_language, different texts) pass with a probability under 1e-9.
     """
     fine = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    counts = dict(fine.groupBy("lang").count().collect())
+    fine = fine.withColumn("_h", F.xxhash64("text"))
+    counts = dict(fine.groupBy("lang", "_h").agg(F.lit(1).alias("n")).groupBy("lang").count().collect())
     if not counts:
         return []
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2 * per_language / n))])
-    fine = fine.withColumn("_h", F.xxhash64("text")).where(F.pmod("_h", F.lit(1 << 30)) <= share[F.col("lang")] * (1 << 30))
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, (2 * per_language + 64) / n))])
+    fine = fine.where(F.pmod("_h", F.lit(1 << 30)) <= share[F.col("lang")] * (1 << 30))
     top = fine.groupBy("lang").agg(F.slice(F.array_sort(F.collect_set(F.struct("_h", "text"))), 1, per_language).alias("top"))
     return [(x["text"], r["lang"]) for r in sorted(top.collect(), key=lambda r: r["lang"]) for x in r["top"]]
 
