@@ -166,6 +166,18 @@ def test_html_edges(spark):
     assert names == ["x & y z é", "one", "two"]
 
 
+def test_open_heads_and_many_unclosed_tags():
+    blocks = lambda page: [(b.path, b.text()) for b in pages_html.blocks(page)]
+    assert blocks("<html><head><title>x</title><body><article><p>one</article>") == [(("html", "body", "article", "p"), "one")]
+    assert blocks("<head><meta charset=u><script>s</script><link href=x><div>one</div>two") == [(("div",), "one"), ((), "two")]
+    assert blocks("<head><title>x</title> one") == [((), "one")]
+    assert blocks("<head><noscript>x<img src=y></noscript><body>one") == [(("body",), "one")]
+    assert blocks("<head><title>x</title></head><body>one") == [(("body",), "one")]
+    for n in (10, 254, 255, 1000, 20000):
+        assert blocks(f"<article><div class=side>{'<b>' * n}one</div><p>two</article>three") == [(("article", "div"), "one"), (("article", "p"), "two"), ((), "three")]
+        assert blocks(f"<ul><li>{'<font>' * n}one<li>two</ul><p>{'<i>' * n}three<p>four") == [(("ul", "li"), "one"), (("ul", "li"), "two"), (("p",), "three"), (("p",), "four")]
+
+
 # --- 4 language
 
 

@@ -22,6 +22,8 @@ _WORD = re.compile(r"[a-z]+")
 RAW = frozenset("script style noscript template textarea title iframe svg math object xmp noembed noframes select option button canvas audio video head".split())
 _UNPARSED = frozenset("script style textarea title xmp iframe noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr del".split())
+#: What can stand in a head; all else, and text, ends it.
+_IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag closes these open ones, up to the nearest of the second set.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -46,18 +48,26 @@ class Block:
 def blocks(page: str) -> list[Block]:
     """Leaf blocks with text, in page order. Unclosed and stray tags are borne; the work is linear in the page.
 
-    A block tag ends a block, an inline tag doesn't; <br> is white space. An open <p> ends at any block tag. Names are
-    the words of class, id and role on the open tags.
+    A block tag ends a block, an inline tag doesn't; <br> is white space. An open <p> ends at any block tag, an open head
+    at <body>, and at text or a tag that can't stand in a head. Names are the words of class, id and role on the open tags.
     """
     stack: list[tuple[str, frozenset[str]]] = []
+    places: dict[str, list[int]] = {}  # of the open tags of each name in the stack
+    outer: list[int] = []  # of the open tags that aren't inline
     out: list[Block] = []
     now: Block | None = None
     depth = {"raw": 0, "a": 0, "b": 0}
     kept: frozenset[str] = frozenset()
     at, n = 0, len(page)
 
+    def last(tag: str) -> int:
+        at = places.get(tag)
+        return at[-1] if at else -1
+
     def say(text: str) -> None:
         nonlocal now
+        if stack and stack[-1][0] == "head" and text and not text.isspace():
+            pop(len(stack) - 1)
         if not text or depth["raw"]:
             return
         if now is None:
@@ -73,6 +83,7 @@ def blocks(page: str) -> list[Block]:
     def pop(to: int) -> None:
         nonlocal kept, now
         for t, _ in stack[to:]:
+            places[t].pop()
             if t in RAW:
                 depth["raw"] -= 1
             elif t == "a":
@@ -80,6 +91,7 @@ def blocks(page: str) -> list[Block]:
             elif t in ("b", "strong", "h1", "h2", "h3"):
                 depth["b"] -= 1
             if t not in INLINE:
+                outer.pop()
                 now = None
         del stack[to:]
         kept = stack[-1][1] if stack else frozenset()
@@ -96,16 +108,16 @@ def blocks(page: str) -> list[Block]:
             continue
         tag = tag.lower()
         if m[1]:
-            if tag == "p" and all(t != "p" for t, _ in stack):
+            i = last(tag)
+            if tag == "p" and i < 0:
                 now = None
-                continue
-            for i in range(len(stack) - 1, max(-1, len(stack) - 256), -1):
-                if stack[i][0] == tag:
-                    pop(i)
-                    break
-                if tag in INLINE and stack[i][0] not in INLINE:
-                    break
+            elif i >= 0 and (tag not in INLINE or not outer or i > outer[-1]):
+                pop(i)
             continue
+        if tag == "body" and last("head") >= 0:
+            pop(last("head"))
+        elif stack and stack[-1][0] == "head" and tag not in _IN_HEAD:
+            pop(len(stack) - 1)
         if tag in VOID:
             if tag in ("br", "img", "input", "wbr"):
                 say(" " if tag != "wbr" else "")
@@ -114,19 +126,12 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag not in INLINE:
             now = None
-            for i in range(len(stack) - 1, max(-1, len(stack) - 64), -1):  # a paragraph, and what is open in it, ends here
-                if stack[i][0] == "p":
-                    pop(i)
-                    break
-                if stack[i][0] not in INLINE:
-                    break
+            if outer and stack[outer[-1]][0] == "p":  # a paragraph, and what is open in it, ends here
+                pop(outer[-1])
             closes, within = _CLOSES.get(tag, ((), ()))
-            for i in range(len(stack) - 1, max(-1, len(stack) - 64) if closes else len(stack), -1):
-                if stack[i][0] in within:
-                    break
-                if stack[i][0] in closes:
-                    pop(i)
-                    break
+            i = max(map(last, closes), default=-1)
+            if i > max(map(last, within), default=-1):
+                pop(i)
         names = kept
         if m[3]:
             own = [(k.lower(), a or b or c or "") for k, a, b, c in _ATTRIBUTE.findall(m[3])]
@@ -137,6 +142,9 @@ def blocks(page: str) -> list[Block]:
                 names = kept | words
         if m[3].rstrip().endswith("/") and tag in ("svg", "math"):
             continue
+        places.setdefault(tag, []).append(len(stack))
+        if tag not in INLINE:
+            outer.append(len(stack))
         stack.append((tag, names))
         kept = names
         if tag in RAW:
