@@ -481,6 +481,25 @@ def test_random_strings_found_and_plain_ones_left(spark):
     assert [i for i, s in out.items() if "entropy" in s] == [0, 1, 2]
 
 
+def test_words_of_a_path_excuse_only_themselves(spark):
+    key, other = "zR8kQ2mVx7LpT4nWc9Jb", "Yt5Hq1sDw3GzUe6Ko0Xi"
+    texts = {
+        f"https://discord.com/api/webhooks/123456789012345678/{key}": [key],
+        f"see /usr/share/example/{key}/lib": [key],
+        f"/home/user/sample-{key}/{other}": [other],
+        f"{key}/{other}": [f"{key}/{other}"],
+        f"com/{key[:11]}/{other[:11]}": [f"{key[:11]}/{other[:11]}"],
+        f"é {key}/example/{other}== ok": [key, f"{other}=="],
+        "/usr/share/local/lib/python3/site-packages": [],
+        "src/main/java/MyProject/TestHelper/SomeOther": [],
+        "api/items/550e8400-e29b-41d4-a716-446655440000/name": [],
+    }
+    for r in secrets.digest(docs(spark, list(enumerate(texts)))).collect():
+        text = list(texts)[r["doc_id"]]
+        spans = [s.split(":") for s in r["spans"].split(",") if s.startswith("entropy")]
+        assert [text[int(a) : int(b)].removeprefix("123456789012345678/") for _, a, b in spans] == texts[text], r
+
+
 def test_redaction_and_other_columns(spark):
     rows = [(1, "a token=abcdefghijklmnop b deadbeefdeadbeef c"), (2, "clean"), (3, None), (4, "token=deadbeefdeadbeef")]
     out = {r["doc_id"]: r for r in secrets.redact(clashing(docs(spark, rows))).collect()}

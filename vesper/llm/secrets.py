@@ -22,8 +22,11 @@ CLASSES = (
     (r"^[A-Za-z0-9]+$", r"^(?=.*[0-9])(?=.*[A-Za-z])", 3.6),
     (r"", r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])", 3.8),
 )
-#: Looks random but isn't secret: UUIDs, dated or versioned names, paths, samples, one character over and over.
-ALLOWED = r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$|example|sample|dummy|placeholder|redacted|^(\w)\1+$|/[a-z]+/[a-z]+/|^[a-z]+([-_][a-z]+)*[-_](19|20)[0-9]{2}[0-9-]*$|0123456789|abcdefgh"
+#: Parts (between slashes) that look random but aren't secret: UUIDs, dated or versioned names, samples, one character over and over.
+ALLOWED = r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$|example|sample|dummy|placeholder|redacted|^(\w)\1+$|^[a-z]+([-_][a-z]+)*[-_](19|20)[0-9]{2}[0-9-]*$|0123456789|abcdefgh"
+_NAME = r"(?:[A-Z]+|[A-Z]?[a-z]+(?:[A-Z][a-z]+)*)"
+#: Parts that are plain words, as in paths: three letters or more, also Capitalised, inHumps, or joined by - and _.
+PLAIN = rf"^(?=.{{3}}){_NAME}(?:[-_]{_NAME})*$"
 MARK = "[SECRET]"
 
 _SPAN = "array<struct<start:int,end:int,kind:int,value:string>>"
@@ -82,13 +85,31 @@ def _random(value: Column) -> Column:
     return out & ~value.rlike(ALLOWED)
 
 
+def _secret_parts(candidate: Column) -> Column:
+    """Spans of what is random in a candidate.
+
+    Plain and allowed parts (between slashes) are blanked, and excuse nothing else. What is left in one piece is judged
+    as a whole, and if that isn't random, part by part.
+    """
+    blank = lambda p: F.when(p.rlike(PLAIN) | p.rlike(ALLOWED), F.regexp_replace(p, ".", " ")).otherwise(p)
+    left = F.array_join(F.transform(F.split(candidate["value"], "/", -1), blank), "/")
+    left = F.replace(F.replace(left, F.lit(" /"), F.lit("  ")), F.lit("/ "), F.lit("  "))
+    moved = lambda spans, by: F.transform(spans, lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["kind"].alias("kind"), s["value"].alias("value")))
+
+    def judged(run: Column) -> Column:
+        parts = F.filter(_spans(run["value"], f"[^/]{{{WINDOW},}}", 3), lambda p: _random(p["value"]))
+        return F.when(_random(run["value"]), F.array(run)).when(F.contains(run["value"], F.lit("/")), moved(parts, run["start"])).otherwise(F.array().cast(_SPAN))
+
+    return moved(F.flatten(F.transform(_spans(left, f"[^ ]{{{WINDOW},}}", 3), judged)), candidate["start"])
+
+
 def _found(docs: DataFrame, text_col: str) -> DataFrame:
     """row (all columns of docs), text and spans; columns of any name are safe in row."""
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_or_empty(F.col(f"`{text_col}`")).alias("text"))
     held = held.withColumn("base", F.concat(F.filter(_spans(F.col("text"), ASSIGN, 0, 2), lambda x: F.length(x["value"]) >= 12), _spans(F.col("text"), ACCESS, 1), _spans(F.col("text"), HEX, 2)))
     held = held.withColumn("more", _spans(F.col("text"), CANDIDATE, 3))
     free = lambda x: ~F.exists("base", lambda b: (b["start"] <= x["start"]) & (x["end"] <= b["end"]))
-    held = held.withColumn("more", F.when(F.size("more") > 0, F.filter(F.filter("more", free), lambda x: _random(x["value"]))).otherwise(F.col("more")))
+    held = held.withColumn("more", F.when(F.size("more") > 0, F.filter(F.flatten(F.transform(F.filter("more", free), _secret_parts)), free)).otherwise(F.col("more")))
     ordered = F.array_sort(F.transform(F.concat("base", "more"), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
     kinds = F.array(*map(F.lit, KINDS))
     spans = F.transform(ordered, lambda x: F.struct(F.get(kinds, x["kind"]).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
@@ -99,8 +120,8 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds `spans` to docs: array of (kind, start, end), code points, end exclusive, by start and then kind.
 
     assign (a value of 12 or more after a key's name), access, hex, and entropy: candidate strings of 20 or more
-    characters that lie within none of those, some window of which is as random as its character class asks, and that
-    no allow-list pattern matches. Works on DataFrame functions alone, over the whole text. Null or empty text: no
+    characters that lie within none of those, less their plain and allowed parts, some window of which is as random as its
+    character class asks. Works on DataFrame functions alone, over the whole text. Null or empty text: no
     spans. All other columns and all rows of docs stay; a column named spans is replaced. Empty table: no rows.
     """
     return _found(docs, text_col).select(*[F.col(f"row.`{c}`") for c in docs.columns if c != "spans"], "spans")
