@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vesper.llm import language, mixing, neardup, packing, secrets
-from vesper.llm.common import shared_dir, table
+from vesper.llm.common import shared_dir, stash, table
 from vesper.session import ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -29,6 +29,11 @@ def stage(function):
     return run_stage
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """Adds _row, a number of each row's own, written once so that it stays, and _hash; doc_id may be null or repeated."""
+    return stash(docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("_hash"), F.monotonically_increasing_id().alias("_row")))
+
+
 @stage
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts that are null, have no letter, or fit no language; learns from the folds that aren't held out.
@@ -41,9 +46,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 @stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest doc_id of each group of near-duplicates."""
-    kept = neardup.near_duplicates(docs, n=SHINGLE, percent=PERCENT).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """Keeps one row of each group of near-duplicates, that of smallest doc_id; null ids are documents of their own, and come last."""
+    docs = keyed(docs)
+    groups = neardup.near_duplicates(docs, id_col="_row", n=SHINGLE, percent=PERCENT).select("_row", "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash", "_row")
+    kept = docs.select("_row", order.alias("order")).join(groups, "_row").groupBy("component_id").agg(F.min("order").alias("order")).select("order._row")
+    return docs.join(kept, "_row", "left_semi").select(*COLUMNS)
 
 
 @stage
@@ -54,9 +62,10 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 @stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, none to three times. Rows of equal doc_id are taken alike."""
-    copies = mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    return docs.join(copies, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*COLUMNS)
+    """Each row as often as the mix takes it, none to three times; null and repeated ids are documents of their own."""
+    docs = keyed(docs)
+    copies = mixing.mix(docs, key_col="_row").where("copies > 0").select("_row", F.col("copies").alias("_copies"))
+    return docs.join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*COLUMNS)
 
 
 @stage

@@ -87,6 +87,14 @@ def test_substring_no_rows_and_repeated_rows(spark):
     assert [r["n_removed"] for r in substring.deduplicate(docs(spark, [(1, t), (1, t)])).collect()] == [300, 300]
 
 
+def test_substring_null_and_repeated_ids(spark):
+    rng = random.Random(2)
+    a, b, c = ("".join(rng.choices("abcdef", k=300)) for _ in range(3))
+    rows = [(None, a), (None, b + a), (7, b), (7, c), (8, "x" + c[:250]), (None, None)]
+    found = collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in substring.deduplicate(docs(spark, rows)).collect())
+    assert found == {(None, 300, 300): 1, (None, 600, 600): 1, (7, 300, 300): 1, (7, 300, 250): 1, (8, 251, 250): 1, (None, 0, 0): 1}
+
+
 # --- 2 quality rules
 
 
@@ -378,6 +386,14 @@ def test_mixing_of_one_long_document_equals_sql(spark, tmp_path):
     assert out[5000] == 0 and sum(out.values()) <= 15000
 
 
+def test_mixing_null_and_repeated_ids(spark):
+    rows = [(None, f"{i} " * (i % 7 + 1), None, "ab"[i % 2]) for i in range(60)] + [(5, "x y z", None, "a"), (5, "x", None, "a"), (5, "x", None, "a")]
+    df = docs(spark, rows).coalesce(1).withColumn("row", F.monotonically_increasing_id())
+    out = mixing.mix(df, key_col="row").collect()
+    assert sorted(r["row"] for r in out) == list(range(63)) and all(r["size"] == len(rows[r["row"]][1].split()) for r in out)
+    assert sum(r["taken"] for r in out) > 0.9 * sum(r["size"] for r in out) and sum(r["copies"] > 0 for r in out if r["doc_id"] is None) > 30
+
+
 # --- 7 packing
 
 

@@ -136,3 +136,13 @@ def test_copies_with_a_fifth_more_text_are_near_duplicates(spark):
         rows += [(i, " ".join(w[:204]), "en", "a", 0), (i + 1, " ".join(w), "en", "a", 0)]  # 200 of 240 five-word shingles
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == list(range(0, 40, 2))
+
+
+def test_null_and_repeated_ids_are_rows_of_their_own(spark):
+    one, two, three, four, five = (" ".join(f"{x}w{k}" for k in range(60)) for x in "abcde")
+    rows = [(None, one, "en", "a", 0), (None, two, "en", "a", 0), (3, three, "en", "a", 0), (3, three, "en", "a", 0), (4, four, "en", "b", 0), (4, one, "en", "b", 0), (9, five, "en", "b", 0), (None, five, "en", "b", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert collections.Counter((r["doc_id"], r["text"]) for r in kept.collect()) == collections.Counter([(None, two), (3, three), (4, four), (4, one), (9, five)])
+    mixed = corpus_pipeline.mix_sources(spark, docs.limit(0).union(spark.createDataFrame([(None, f"{i} b c", None, "s", 0) for i in range(9)], docs.schema)), "")
+    assert sorted(r["text"] for r in mixed.collect()) == [f"{i} b c" for i in range(9)]

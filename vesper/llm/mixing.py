@@ -31,27 +31,27 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap:
     return level.select("_null", "_src", "_rank", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), max_repeats: int = 3, seed: str = "") -> DataFrame:
-    """Adds size, source_size, target, copies and taken (words, repeats counted) to id_col.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), max_repeats: int = 3, seed: str = "", key_col: str | None = None) -> DataFrame:
+    """Adds size, source_size, target, copies and taken (words, repeats counted) to id_col, and to key_col if given.
 
-    Each source's documents are shuffled (by the MD5 of seed and id) and queue up to `max_repeats` times over. A
+    Each source's documents are shuffled (by the MD5 of seed and id; for a null id, of a hash of the text) and queue up to `max_repeats` times over. A
     copy's virtual finish time is its source's words up to and with it, divided by the source's target. All copies
     are ranged by (finish time, source, shuffle, id, repeat) and taken up to the first that would pass the budget,
     the sum of all sizes. The order depends on the rows alone, so reruns agree.
 
     Only three numbers reach the driver: the budget, the finish-time bin in which it runs out, and the last copy
     taken, found by sorting that one bin. Every copy is in some bin, however late it finishes. Null text: size 0. Size 0: taken 0. Null source: a source of its own,
-    last. Repeated ids: each row counts. Empty table: no rows. Other columns of docs are ignored.
+    last. Null and repeated ids: each row counts, told apart by text and by key_col, a key of each row's own. Empty table: no rows. Other columns of docs are ignored.
     """
-    shuffle = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
-    sized = docs.select(F.col(id_col).alias("_id"), F.col(source_col).isNull().alias("_null"), text_or_empty(F.col(source_col).cast("string")).alias("_src"), F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long").alias("size"), shuffle.alias("_md5"))
+    shuffle = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.xxhash64(text_col).cast("string"))).cast("binary"))
+    sized = docs.select(F.col(id_col).alias("_id"), F.col(source_col).isNull().alias("_null"), text_or_empty(F.col(source_col).cast("string")).alias("_src"), F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long").alias("size"), shuffle.alias("_md5"), F.xxhash64(text_col).alias("_tie"), (F.col(key_col) if key_col else F.lit(0)).cast("long").alias("_key"))
     sized = cut(sized)
     n, budget = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     buckets = pow2(n / ROWS_PER_BUCKET, 16, 1 << 20)
     slot = F.floor(F.conv(F.substring("_md5", 1, 5), 16, 10).cast("long") * buckets / (1 << 20)).cast("int")
     queued = sized.join(source_targets(sized, weights, max_repeats), ["_null", "_src"])
-    queued = running_sum(queued, ["_rank"], ["_md5", "_id", "size"], "size", "_cum", slot)
-    queued = cut(queued.select("_id", "_rank", "_md5", "size", "source_size", "target", "_cum"))
+    queued = running_sum(queued, ["_rank"], ["_md5", "_id", "size", "_tie", "_key"], "size", "_cum", slot)
+    queued = cut(queued.select("_id", "_rank", "_md5", "_tie", "_key", "size", "source_size", "target", "_cum"))
 
     def finish(e: int):
         return F.try_divide((F.col("source_size") * e + F.col("_cum")).cast("double"), F.col("target"))
@@ -62,7 +62,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         """Never falls as v grows: bins of equal width up to 4, of equal ratio from there."""
         return F.when(v < 4, F.floor(v * (bins // 4))).otherwise(bins + F.floor(F.log2(v / 4) * (bins // 16)))
 
-    copies = queued.where("size > 0").select("*", F.explode(F.array(*[F.struct(F.lit(e).alias("e"), finish(e).alias("v")) for e in range(max_repeats)])).alias("c")).select("size", F.struct("c.v", "_rank", "_md5", "_id", "c.e").alias("key"))
+    copies = queued.where("size > 0").select("*", F.explode(F.array(*[F.struct(F.lit(e).alias("e"), finish(e).alias("v")) for e in range(max_repeats)])).alias("c")).select("size", F.struct("c.v", "_rank", "_md5", "_id", "c.e", "_tie", "_key").alias("key"))
     binned = copies.withColumn("bin", bin_of(F.col("key.v")))
     filled = binned.groupBy("bin").agg(F.sum("size").alias("s")).withColumn("upto", F.sum("s").over(Window.orderBy("bin")))
     over = filled.where(F.col("upto") > budget).agg(F.min_by(F.struct("bin", (F.col("upto") - F.col("s")).alias("before")), "bin").alias("x")).first()["x"]
@@ -74,14 +74,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         for e in range(max_repeats):
             done = bin_of(finish(e)) < over["bin"]
             if key is not None:
-                at = [finish(e), F.col("_rank"), F.col("_md5"), F.col("_id"), F.lit(e)]
-                upto = F.lit(True)
-                for mine, its in reversed(list(zip(at, [key["v"], key["_rank"], key["_md5"], key["_id"], key["e"]], strict=True))):
-                    upto = (mine < F.lit(its)) | ((mine == F.lit(its)) & upto)
-                done = done | upto
+                mine = F.struct(finish(e).alias("v"), "_rank", "_md5", "_id", F.lit(e).alias("e"), "_tie", "_key")
+                its = F.struct(*[F.lit(key[f.name]).cast(f.dataType).alias(f.name) for f in copies.schema["key"].dataType])
+                done = done | (mine <= its)  # null ids come first, as in the order above
             taken = taken + F.coalesce(done, F.lit(False)).cast("int")
     taken = F.when(F.col("size") > 0, taken).otherwise(0).cast("int")
-    return queued.select(F.col("_id").alias(id_col), "size", "source_size", "target", taken.alias("copies"), (F.col("size") * taken).alias("taken"))
+    return queued.select(F.col("_id").alias(id_col), *([F.col("_key").alias(key_col)] if key_col else []), "size", "source_size", "target", taken.alias("copies"), (F.col("size") * taken).alias("taken"))
 
 
 SQL_OP6 = r"""

@@ -257,11 +257,12 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Every byte of the UTF-8 text that a `length`-byte string covers which also starts elsewhere, in this or another
     document, is removed. Matches never cross documents and are judged on the input. Null text: empty. Shorter texts
-    lose nothing. Rows with equal id must have equal text; each is then a copy of the other. Empty table: no rows.
+    lose nothing. Each row is a document of its own, also where its id is null or repeated. Empty table: no rows.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    spans = repeated(texts, length, gram, block).withColumnRenamed("doc", "_doc")
-    rows = texts.join(spans, F.col("doc") == F.col("_doc"), "left").select("doc", "text", "spans")
+    # rows are joined by a hash of id and text: rows equal in both lose the same bytes
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col).cast("long"), text_col).alias("doc"), F.col(text_col).alias("text"))
+    spans = repeated(texts.select("doc", "text"), length, gram, block).withColumnRenamed("doc", "_doc")
+    rows = texts.join(spans, F.col("doc") == F.col("_doc"), "left").select(F.col("id").alias("doc"), "text", "spans")
     names = ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "removed"][: 7 if with_kept else 5]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
 
