@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +13,8 @@ from .common import SPACES, cut, text_or_empty, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
+#: A word of letters, also joined by - and ', with marks around it. Possessive: no group is repeated by recursion, however long the word.
+PLAIN_WORD = r"^[(\[\"'«„“]*+[\p{L}\p{M}]++(?:[-'’][\p{L}\p{M}]++)*+[.,;:!?)\]\"'»“”…]*+$"
 
 
 def base_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -32,7 +35,7 @@ def base_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.length(F.regexp_replace("_t", "[^" + SYMBOLS + "]+", "")).cast("long").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         F.size("_l").cast("long").alias("n_lines"),
-        F.size(F.filter("_w", lambda w: w.rlike(r"^[(\[\"'«„“]*[\p{L}\p{M}]+([-'’][\p{L}\p{M}]+)*[.,;:!?)\]\"'»“”…]*$"))).cast("long").alias("n_plain_words"),
+        F.size(F.filter("_w", lambda w: w.rlike(PLAIN_WORD))).cast("long").alias("n_plain_words"),
         F.size(F.filter("_w", lambda w, i: w == F.get("_w", i - 1))).cast("long").alias("n_echo_words"),
         F.size(F.filter("_l", lambda x: x.rlike(r"[.!?][\"')\]]*\s*$"))).cast("long").alias("n_ended_lines"),
         grams.alias("_g"),
@@ -85,41 +88,43 @@ def default_rules() -> list[Rule]:
 
 
 def log_odds(params: dict, names: list[str]) -> Column:
-    """Sum of the rules' weights of evidence. The vote picks its weight from an array, whose values aren't part of the compiled code, so that rounds of fit() share it."""
-    weights = []
-    for false, true in (params[n] for n in names):
-        weights += [math.log(false / true), 0.0, math.log((1 - false) / (1 - true))]
-    weights[:3] = [w + math.log(params["prior"] / (1 - params["prior"])) for w in weights[:3]]
-    weights = F.array(*map(F.lit, weights))
-    return sum((F.get(weights, F.col(n) + (3 * i + 1)) for i, n in enumerate(names[1:], 1)), F.get(weights, F.col(names[0]) + 1))
+    """Sum of the rules' weights of evidence: the vote picks its weight from an array."""
+    weights = _weights(params, names)
+    prior = math.log(params["prior"] / (1 - params["prior"]))
+    return sum((F.get(F.array(*map(F.lit, w)), F.col(n) + 1) for n, w in zip(names, weights, strict=True)), F.lit(prior))
+
+
+def _weights(params: dict, names: list[str]) -> list[list[float]]:
+    """For each rule the evidence of a bad vote, of none, and of a good vote."""
+    return [[math.log(false / true), 0.0, math.log((1 - false) / (1 - true))] for false, true in (params[n] for n in names)]
 
 
 def fit(votes: DataFrame, names: list[str], rounds: int = 25, prior: float = 0.9, false: float = 0.01, true: float = 0.4, strength: float = 0.02, tolerance: float = 1e-6) -> dict:
     """prior (share of good texts) and for each rule (P(votes bad | good), P(votes bad | bad)), by EM.
 
     A bad text breaks one rule or another, seldom all, so each rule has a rate for either class and its accuracy
-    follows from both. The data are the counts of vote patterns: at most 3 to the number of rules rows at any input
-    size. A round is one aggregate over them. Rates are drawn to their start with the weight of `strength` of all
+    follows from both. The data are the counts of vote patterns, one aggregate over all texts: at most 3 to the number of
+    rules rows at any input size, which go to the driver, where the rounds are sums over them. Rates are drawn to their start with the weight of `strength` of all
     texts, P(votes bad | bad) stays at 0.1 or more and P(votes bad | good) at 0.05 or less, so that the classes can't
     change sides and a rule that never votes keeps its start. No texts: the start values.
     """
-    patterns = cut(votes.groupBy(*names).agg(F.count("*").alias("_n")).coalesce(1))
+    counted = sorted(map(tuple, votes.groupBy(*names).agg(F.count("*").alias("_n")).collect()))
     params = {"prior": prior} | {n: (false, true) for n in names}
+    if not counted:
+        return params
+    table = np.array(counted, np.int64)
+    vote, n = table[:, :-1], table[:, -1].astype(float)
+    rows, total = np.arange(len(names)), n.sum()
+    extra = strength * total
     for _ in range(rounds):
-        p = 1 / (1 + F.exp(-log_odds(params, names)))
-        good, bad = F.col("_n") * p, F.col("_n") * (1 - p)
-        sums = [F.sum("_n"), F.sum(good)]
-        for n in names:
-            sums += [F.sum(F.when(F.col(n) == -1, w).otherwise(0.0)) for w in (good, bad)] + [F.sum(F.when(F.col(n) != 0, w).otherwise(0.0)) for w in (good, bad)]
-        total, n_good, *s = patterns.agg(*[c.alias(f"c{i}") for i, c in enumerate(sums)]).first()
-        if not total:
-            break
-        extra = strength * total
-        rate = lambda hit, of, start: (hit + start * extra) / (of + extra)
-        new = {"prior": min(0.99, max(0.5, rate(n_good, total, prior)))}
-        for i, n in enumerate(names):
-            bad_if_good, bad_if_bad, voted_good, voted_bad = s[4 * i : 4 * i + 4]
-            new[n] = (min(0.05, max(1e-4, rate(bad_if_good, voted_good, false))), min(0.99, max(0.1, rate(bad_if_bad, voted_bad, true))))
+        odds = np.array(_weights(params, names))[rows, vote + 1].sum(axis=1) + math.log(params["prior"] / (1 - params["prior"]))
+        good = n / (1 + np.exp(-odds))
+        bad = n - good
+        rate = lambda hit, of, start: float((hit + start * extra) / (of + extra))
+        new = {"prior": min(0.99, max(0.5, rate(good.sum(), total, prior)))}
+        for i, name in enumerate(names):
+            broke, voted = vote[:, i] == -1, vote[:, i] != 0
+            new[name] = (min(0.05, max(1e-4, rate(good[broke].sum(), good[voted].sum(), false))), min(0.99, max(0.1, rate(bad[broke].sum(), bad[voted].sum(), true))))
         moved = max(abs(x - y) for k in new for x, y in zip(*(v[k] if k != "prior" else (v[k],) for v in (new, params)), strict=True))
         params = new
         if moved < tolerance:
