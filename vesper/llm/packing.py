@@ -16,7 +16,8 @@ from .common import cut, pow2
 
 #: White space that str.split() knows and tokenisers don't: texts with it are tokenised whole.
 _ODD = re.compile("[\x1c-\x1f]")
-CACHE = 1_000_000
+#: Words of the cache, and the most characters that a word in it has.
+CACHE, LONGEST = 1_000_000, 64
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -30,7 +31,9 @@ class WordTokens:
 
     For tokenizers that ignore case, drop white space and split at it and between letters and punctuation, so that
     a text's ids are its words' ids in order, and a word's are those of its lower-case form without the mark at its
-    end, then the mark's. The cache is emptied when it passes CACHE words, which bounds a worker's memory.
+    end, then the mark's. Only a mark after ASCII letters is split off: others may lower-case to letters with a combining
+    mark, which takes the mark with it. The cache is emptied when it passes CACHE words, and words of more than LONGEST
+    characters aren't kept beyond their text, which bounds a worker's memory.
     """
 
     def __init__(self, path: str):
@@ -44,7 +47,8 @@ class WordTokens:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.encoder.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of the words that aren't in the cache; those of short ones are kept there."""
         cache = self.cache
         new = [w for w in words if w not in cache]
         if len(cache) + 2 * len(new) > CACHE:
@@ -52,15 +56,19 @@ class WordTokens:
             new = list(words)
         cores = {}
         for w in new:
-            mark = w[-1] if len(w) > 1 and w[-1] in ".,;:" and w[-2].isalpha() else ""
+            mark = w[-1] if len(w) > 1 and w[-1] in ".,;:" and w.isascii() and w[-2].isalpha() else ""
             core = w[:-1] if mark else w
             cores[w] = (core.lower() if core.isascii() else core, mark)
         plain = [x for x in {x for pair in cores.values() for x in pair if x} if x not in cache]
+        found: dict[str, bytes] = {}
         for at in range(0, len(plain), 4096):
             part = plain[at : at + 4096]
-            cache.update(zip(part, self._encode(part), strict=True))
-        for w, (core, mark) in cores.items():
-            cache[w] = cache[core] + cache[mark] if mark else cache[core]
+            found.update(zip(part, self._encode(part), strict=True))
+        ids = lambda x: found[x] if x in found else cache[x]
+        found |= {w: ids(core) + ids(mark) if mark else ids(core) for w, (core, mark) in cores.items()}
+        if len(found) < CACHE:
+            cache.update((w, x) for w, x in found.items() if len(w) <= LONGEST)
+        return found
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
@@ -71,8 +79,8 @@ class WordTokens:
             try:
                 yield b"".join(map(self.cache.__getitem__, words))
             except KeyError:
-                self._learn(set(words))
-                yield b"".join(map(self.cache.__getitem__, words))
+                before, new = self.cache, self._learn(set(words))
+                yield b"".join([new[w] if w in new else before[w] for w in words])
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, end_id: int = 0, path: str | None = None, with_ids: bool = False) -> DataFrame:
