@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -25,76 +26,135 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data dfn em font i
 #: What can stand in a head; all else, and text, ends it.
 _IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Their content is no text until their end tag; where none follows, until the next block. Those of the second set can hold one another.
+_SOFT = RAW - _UNPARSED - {"head"}
+_NESTED = frozenset("object template svg math canvas audio video".split())
+_SOFT_TAG = re.compile(rf"<(/?)({'|'.join(sorted(_SOFT))})(?=[\s/>])", re.I)
 #: An opening tag closes these open ones, up to the nearest of the second set.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 FEATURES = 1 << 14
 _SENTENCE = re.compile(r"[.!?…。](?:[\"'”’»)\]]*)(?:\s|$)")
 
 
+class Node:
+    """An open tag, and what it adds to its ancestors: its name, if none of them has it and it is a block's, and new words of its class, id and role."""
+
+    __slots__ = ("parent", "tag", "inline", "new", "score")
+
+    def __init__(self, parent: Node | None, tag: str, inline: bool, new: tuple[str, ...]):
+        self.parent, self.tag, self.inline, self.new, self.score = parent, tag, inline, new, None
+
+    def above(self) -> Iterator[Node]:
+        node: Node | None = self
+        while node is not None:
+            yield node
+            node = node.parent
+
+
 @dataclass
 class Block:
-    """The text between two block boundaries, its open tags, the names on them, and how much of it is links."""
+    """The text between two block boundaries, its innermost open tag, the two innermost block tags, and how much of it is links and bold.
 
-    path: tuple[str, ...]
-    names: frozenset[str]
+    Blocks share the nodes of their open tags, so that deep nesting costs no more than the page's length.
+    """
+
+    node: Node | None
+    ends: tuple[str, ...]
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     bold: int = 0
+    _text: str | None = None
 
     def text(self) -> str:
-        return " ".join(entities.unescape("".join(self.parts)).split())
+        if self._text is None:
+            self._text = " ".join(entities.unescape("".join(self.parts)).split())
+        return self._text
+
+    @property
+    def path(self) -> tuple[str, ...]:
+        """The open block tags, outermost first."""
+        return tuple(n.tag for n in self.node.above() if not n.inline)[::-1] if self.node else ()
+
+
+def _unclosed(page: str) -> set[int]:
+    """Places of tags such as <button> that no end tag closes: another one opens first, or none follows. What such a tag
+    holds ends at the next block."""
+    waiting: dict[str, list[int]] = {}
+    for m in _SOFT_TAG.finditer(page):
+        tag = m[2].lower()
+        mine = waiting.setdefault(tag, [])
+        if m[1]:
+            if mine:
+                mine.pop()
+        elif tag in _NESTED:
+            mine.append(m.start())
+        else:
+            waiting.setdefault("", []).extend(mine)
+            mine[:] = [m.start()]
+    return {at for places in waiting.values() for at in places}
 
 
 def blocks(page: str) -> list[Block]:
     """Leaf blocks with text, in page order. Unclosed and stray tags are borne; the work is linear in the page.
 
     A block tag ends a block, an inline tag doesn't; <br> is white space. An open <p> ends at any block tag, an open head
-    at <body>, and at text or a tag that can't stand in a head. Names are the words of class, id and role on the open tags.
+    at <body>, and at text or a tag that can't stand in a head, and a tag such as <button> that is never closed at the next block tag.
     """
-    stack: list[tuple[str, frozenset[str]]] = []
+    stack: list[Node] = []
     places: dict[str, list[int]] = {}  # of the open tags of each name in the stack
+    words_open: set[str] = set()
     outer: list[int] = []  # of the open tags that aren't inline
+    loose: list[int] = []  # of the open tags that nothing closes
     out: list[Block] = []
     now: Block | None = None
     depth = {"raw": 0, "a": 0, "b": 0}
-    kept: frozenset[str] = frozenset()
+    unclosed = _unclosed(page)
+    ends_of: dict[str, list[int]] = {}  # where the end tags of unparsed tags are
     at, n = 0, len(page)
 
     def last(tag: str) -> int:
         at = places.get(tag)
         return at[-1] if at else -1
 
+    def end_of(tag: str, at: int) -> int:
+        if tag not in ends_of:
+            ends_of[tag] = [m.start() for m in re.finditer(rf"</{tag}(?=[\s/>])", page, re.I)]
+        i = bisect_left(ends_of[tag], at)
+        return ends_of[tag][i] if i < len(ends_of[tag]) else n
+
     def say(text: str) -> None:
         nonlocal now
-        if stack and stack[-1][0] == "head" and text and not text.isspace():
+        if stack and stack[-1].tag == "head" and text and not text.isspace():
             pop(len(stack) - 1)
         if not text or depth["raw"]:
             return
         if now is None:
             if text.isspace():
                 return
-            path = tuple(t for t, _ in stack if t not in INLINE)
-            now = Block(path, kept)
+            now = Block(stack[-1] if stack else None, tuple(stack[i].tag for i in outer[-2:]))
             out.append(now)
         now.parts.append(text)
         now.linked += len(text) * (depth["a"] > 0)
         now.bold += len(text) * (depth["b"] > 0)
 
     def pop(to: int) -> None:
-        nonlocal kept, now
-        for t, _ in stack[to:]:
+        nonlocal now
+        for _ in range(len(stack) - to):
+            node = stack.pop()
+            t = node.tag
             places[t].pop()
+            words_open.difference_update(node.new)
+            if loose and loose[-1] == len(stack):
+                loose.pop()
             if t in RAW:
                 depth["raw"] -= 1
             elif t == "a":
                 depth["a"] -= 1
             elif t in ("b", "strong", "h1", "h2", "h3"):
                 depth["b"] -= 1
-            if t not in INLINE:
+            if not node.inline:
                 outer.pop()
                 now = None
-        del stack[to:]
-        kept = stack[-1][1] if stack else frozenset()
 
     while at < n:
         m = _TOKEN.search(page, at)
@@ -116,8 +176,10 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag == "body" and last("head") >= 0:
             pop(last("head"))
-        elif stack and stack[-1][0] == "head" and tag not in _IN_HEAD:
+        elif stack and stack[-1].tag == "head" and tag not in _IN_HEAD:
             pop(len(stack) - 1)
+        if loose and tag not in INLINE and tag not in VOID and tag not in RAW and tag != "optgroup":
+            pop(loose[0])
         if tag in VOID:
             if tag in ("br", "img", "input", "wbr"):
                 say(" " if tag != "wbr" else "")
@@ -126,32 +188,32 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag not in INLINE:
             now = None
-            if outer and stack[outer[-1]][0] == "p":  # a paragraph, and what is open in it, ends here
+            if outer and stack[outer[-1]].tag == "p":  # a paragraph, and what is open in it, ends here
                 pop(outer[-1])
             closes, within = _CLOSES.get(tag, ((), ()))
             i = max(map(last, closes), default=-1)
             if i > max(map(last, within), default=-1):
                 pop(i)
-        names = kept
+        words: set[str] = set()
         if m[3]:
             own = [(k.lower(), a or b or c or "") for k, a, b, c in _ATTRIBUTE.findall(m[3])]
-            words = {w for k, v in own if k in ("class", "id", "role", "itemprop") for w in _WORD.findall(v.lower())}
+            words = {f"name {w}" for k, v in own if k in ("class", "id", "role", "itemprop") for w in _WORD.findall(v.lower())}
             if any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in own):
-                words.add("hidden")
-            if words:
-                names = kept | words
+                words.add("name hidden")
         if m[3].rstrip().endswith("/") and tag in ("svg", "math"):
             continue
+        new = [w for w in words if w not in words_open] + [f"under {tag}"] * (tag not in INLINE and last(tag) < 0)
+        words_open.update(new)
         places.setdefault(tag, []).append(len(stack))
         if tag not in INLINE:
             outer.append(len(stack))
-        stack.append((tag, names))
-        kept = names
+        if m.start() in unclosed:
+            loose.append(len(stack))
+        stack.append(Node(stack[-1] if stack else None, tag, tag in INLINE, tuple(sorted(new))))
         if tag in RAW:
             depth["raw"] += 1
             if tag in _UNPARSED:
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = end.start() if end else n
+                at = end_of(tag, at)
         elif tag == "a":
             depth["a"] += 1
         elif tag in ("b", "strong", "h1", "h2", "h3"):
@@ -168,23 +230,42 @@ def _level(x: float, cuts: tuple[float, ...]) -> int:
     return sum(x >= c for c in cuts)
 
 
+def _own(page: list[Block], i: int) -> list[int]:
+    """Slots of what a block has of its own: its innermost tags, the shape of its text, and whether it is first or last."""
+    b = page[i]
+    text = b.text()
+    n, words = len(text), text.count(" ") + 1
+    linked = b.linked / max(1, sum(map(len, b.parts)))
+    shape = (
+        f"words {_level(words, (2, 4, 8, 15, 30, 60))}", f"links {_level(linked, (0.01, 0.2, 0.5, 0.9))}", f"ends {_level(len(_SENTENCE.findall(text)), (1, 2, 4))}",
+        f"stop {text[-1] in '.!?…:;\"”»'}", f"commas {_level(text.count(',') / words, (0.01, 0.05, 0.2))}", f"digits {_level(sum(map(str.isdigit, text)) / n, (0.05, 0.2, 0.5))}",
+        f"bold {b.bold > 0.5 * n}", f"symbol {any(c in text for c in '©|»›•·®')}",
+    )
+    tag = b.ends[-1] if b.ends else "-"
+    own = [f"tag {tag}", f"parents {'/'.join(b.ends)}", *shape, f"{shape[0]} {shape[1]}", f"{tag} {shape[0]}", f"{tag} {shape[1]}"]
+    own += ["first"] * (i == 0) + ["last"] * (i == len(page) - 1) + ["bias"]
+    return [_slot(x) for x in own]
+
+
 def features(page: list[Block]) -> list[list[int]]:
     """Slots of each block's binary features: ancestor tags, the words on them, and its text's shape; nothing of its wording."""
-    out = []
-    for i, b in enumerate(page):
-        text = b.text()
-        n, words = len(text), text.count(" ") + 1
-        linked = b.linked / max(1, sum(map(len, b.parts)))
-        shape = (
-            f"words {_level(words, (2, 4, 8, 15, 30, 60))}", f"links {_level(linked, (0.01, 0.2, 0.5, 0.9))}", f"ends {_level(len(_SENTENCE.findall(text)), (1, 2, 4))}",
-            f"stop {text[-1] in '.!?…:;\"”»'}", f"commas {_level(text.count(',') / words, (0.01, 0.05, 0.2))}", f"digits {_level(sum(map(str.isdigit, text)) / n, (0.05, 0.2, 0.5))}",
-            f"bold {b.bold > 0.5 * n}", f"symbol {any(c in text for c in '©|»›•·®')}",
-        )
-        tag = b.path[-1] if b.path else "-"
-        own = [f"tag {tag}", f"parents {'/'.join(b.path[-2:])}", *(f"under {t}" for t in set(b.path)), *(f"name {w}" for w in b.names), *shape, f"{shape[0]} {shape[1]}", f"{tag} {shape[0]}", f"{tag} {shape[1]}"]
-        own += ["first"] * (i == 0) + ["last"] * (i == len(page) - 1) + ["bias"]
-        out.append([_slot(x) for x in own])
-    return out
+    return [_own(page, i) + [_slot(x) for node in (b.node.above() if b.node else ()) for x in node.new] for i, b in enumerate(page)]
+
+
+def emissions(page: list[Block], model: Crf) -> np.ndarray:
+    """The sum of the weights of each block's features(), by label. What ancestors add is summed once for each open tag."""
+
+    def inherited(node: Node | None) -> np.ndarray:
+        fresh = []
+        while node is not None and node.score is None:
+            fresh.append(node)
+            node = node.parent
+        score = node.score if node else np.zeros(2)
+        for node in reversed(fresh):
+            node.score = score = score + model.emit[[_slot(x) for x in node.new]].sum(axis=0) if node.new else score
+        return score
+
+    return np.array([model.emit[_own(page, i)].sum(axis=0) + inherited(b.node) for i, b in enumerate(page)]).reshape(-1, 2)
 
 
 @dataclass(frozen=True)
@@ -197,9 +278,11 @@ class Crf:
 
     def decode(self, page: list[list[int]]) -> list[int]:
         """The most probable label sequence (Viterbi)."""
-        if not page:
+        return self.viterbi(np.array([self.emit[f].sum(axis=0) for f in page]))
+
+    def viterbi(self, scores: np.ndarray) -> list[int]:
+        if not len(scores):
             return []
-        scores = np.array([self.emit[f].sum(axis=0) for f in page])
         move, best, back = self.move.tolist(), (self.start + scores[0]).tolist(), []
         for s in scores[1:].tolist():
             from_0 = [best[1] + move[1][y] > best[0] + move[0][y] for y in (0, 1)]
@@ -260,7 +343,7 @@ def train(pages: list[tuple[list[list[int]], list[int]]], steps: int = 150, rate
 def main_text(page: str | None, model: Crf) -> str:
     """Blocks that the model labels as main text, joined by newlines; empty if there is none."""
     found = blocks(page or "")
-    return "\n".join(b.text() for b, y in zip(found, model.decode(features(found)), strict=True) if y)
+    return "\n".join(b.text() for b, y in zip(found, model.viterbi(emissions(found, model)), strict=True) if y)
 
 
 @lru_cache(maxsize=1)

@@ -50,6 +50,9 @@ CHROME_END = [
     '<div class="subscribe cta"><p>{s:1-2}</p></div>',
     '<nav class="pagination">{anchors:2-4}</nav>',
 ]
+#: Cells beside and below the story where a table is the layout.
+CELLS_SIDE = ["<td>{anchors:2-6}</td>", '<td class="nav">{anchors:2-8}</td>', '<td class="menu"><ul>{links:2-6}</ul></td>', '<td valign="top" id="left">{anchors:1-3}<p>{s:1-2}</p></td>']
+CELLS_END = ['<tr><td colspan="2">&copy; 2020 {w:1-3}. {s:1-1}</td></tr>', '<tr><td class="footer">&copy; {w:1-3} {s:1-2}</td></tr>', '<tr><td align="center">{anchors:2-5}</td></tr>', ""]
 BODY_PART = ["<p>{m:1-6}</p>", "<p>{m:1-6}</p>", "<p>{m:1-6}</p>", "<p>{m:1-3}", "<p><b>{m:1-4}<br></p>", "<p><b>{m:1-4}<br>", "<p>{m:1-1}</p>", "<p>{mw:1-3}.</p>", "<p>{mw:1-4}</p>", "<h2>{mw:2-7}</h2><p>{m:1-5}</p>", "<h3>{mw:1-6}</h3>", "<ul>{items:2-6}</ul>", "<ol><li>{m:1-2}</li><li>{m:1-2}</li></ol>", "<blockquote><p>{m:1-3}</p></blockquote>", "<blockquote>{m:1-2}</blockquote>", "<p>{m:1-2} <a href='/y'>{mw:1-3}</a> {m:1-2}</p>", "<pre>{m:1-2}</pre>", "<figure><img src='i.png'><figcaption>{mw:3-9}</figcaption></figure>", "<table><tr><td>{mw:1-3}</td><td>{mw:1-4}</td></tr></table>", "<p>{msym:5-30}</p>", "<p>{mlist:5-20}</p>"]
 CONTAINERS = [("<article>", "</article>"), ("<article>", ""), ("<main>", "</main>"), ("<main><article class='post'>", "</article></main>"), ('<div class="content">', "</div>"), ('<div id="content"><div class="entry-content">', "</div></div>"), ('<div class="article-body">', "</div>"), ('<section class="post story">', "</section>"), ('<div id="main" role="main">', "</div>"), ("<div>", "</div>"), ('<td class="text">', "</td>")]
 HEADLINES = ["<h1>{mw:2-12}</h1>", "<h1>{mw:2-12}</h1>", "<h1>{m:1-2}</h1>", "<h1 class='title'>{mw:2-9}</h1>", "<header><h1>{mw:2-9}</h1></header>", "<h2 class='headline'>{mw:2-9}</h2>", ""]
@@ -110,6 +113,10 @@ def layout(rng: random.Random) -> str:
     body = "".join(rng.choices(BODY_PART, k=rng.choice((1, 2, 3, 5, 8, 12))))
     inner = rng.choice(CHROME_SIDE) if rng.random() < 0.25 else ""
     story = opening + rng.choice(HEADLINES) + (inner + body if rng.random() < 0.5 else body + inner) + closing
+    if rng.random() < 0.15:
+        cell = f"<td{rng.choice(('', ' class=main', ' valign=top'))}>{story}</td>"
+        row = rng.choice(CELLS_SIDE) + cell if rng.random() < 0.7 else cell + rng.choice(CELLS_SIDE)
+        story = f"<table>{rng.choice(('', '<tr>' + rng.choice(CELLS_SIDE) + '</tr>'))}<tr>{row}</tr>{rng.choice(CELLS_END)}</table>"
     pick = lambda parts, most: "".join(rng.sample(parts, rng.randint(0, most)))
     body = pick(CHROME_TOP, 4) + (pick(CHROME_SIDE, 1) + story if rng.random() < 0.3 else story + pick(CHROME_SIDE, 2)) + pick(CHROME_END, 3)
     if rng.random() < 0.3:
@@ -124,6 +131,6 @@ def labelled_pages(n: int = 400, seed: int = SEED) -> list[tuple[list[Block], li
         found = blocks(_fill(layout(rng), _Words(rng)))
         labels = [int(any(MAIN in p for p in b.parts)) for b in found]
         for b in found:
-            b.parts = [p.replace(MAIN, "") for p in b.parts]
+            b.parts, b._text = [p.replace(MAIN, "") for p in b.parts], None
         out.append((found, labels))
     return out
