@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import stash
 
 
 def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -31,24 +31,37 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: list[int] | None = None) -> DataFrame:
     """node, component (its smallest node) for all nodes of the edges.
 
-    Each round lets every node take the smallest label among its neighbours (a combined minimum), then the label of
-    its label, and drops edges whose ends agree; both ends of others are replaced by their labels, so that the graph
-    shrinks. Labels are kept in checkpoints; the driver sees one count a round.
+    In each round every node points at its smallest neighbour if that is smaller, and pointers are doubled until they
+    reach a node that points nowhere; edges then join these ends, and those within one vanish. A node without
+    pointer has taken in all its neighbours or points at a smaller one in the next round, so that two rounds halve the
+    nodes, also of a chain. Labels are kept as tables, as the size that Spark expects of a checkpoint of joins is squared in each; the driver sees one count a step, which `rounds` collects.
     """
-    both = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v"))
+    both = stash(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     labels = both.select(F.explode(F.array("u", "v")).alias("node")).distinct().select("node", F.col("node").alias("component"))
-    labels, live = cut(labels), cut(both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    live = both
+    first = True
     while live.limit(1).count():
-        down = live.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
-        low = cut(down.groupBy("u").agg(F.min("v").alias("m")).where("m < u"))  # so that a hub's rows can be split in the join
-        root = low.alias("x").join(low.alias("y"), F.col("x.m") == F.col("y.u"), "left").select(F.col("x.u").alias("was"), F.coalesce("y.m", "x.m").alias("to"))
-        root = cut(root)
-        first, second = root.select(F.col("was").alias("w1"), F.col("to").alias("t1")), root.select(F.col("was").alias("w2"), F.col("to").alias("t2"))
-        moved = live.join(first, F.col("u") == F.col("w1"), "left").join(second, F.col("v") == F.col("w2"), "left").select(F.coalesce("t1", "u").alias("u"), F.coalesce("t2", "v").alias("v")).where("u <> v")
-        # a node that moved and its new place are one component already; the labels record that
-        live = cut(moved.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        labels = cut(labels.join(root, F.col("component") == F.col("was"), "left").select("node", F.coalesce("to", "component").alias("component")))
-    return labels
+        # v is the smaller end: the least v of an edge's larger end is its smallest neighbour if that is smaller
+        root = _ends(stash(live.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("was"), F.col("v").alias("to"))), rounds)
+        one, two = root.select(F.col("was").alias("w1"), F.col("to").alias("t1")), root.select(F.col("was").alias("w2"), F.col("to").alias("t2"))
+        moved = live.join(one, F.col("u") == F.col("w1")).join(two, F.col("v") == F.col("w2"), "left").select("t1", F.coalesce("t2", "v").alias("v"))
+        live = stash(moved.select(F.greatest("t1", "v").alias("u"), F.least("t1", "v").alias("v")).where("u <> v").distinct())
+        labels = labels.join(root, F.col("component") == F.col("was"), "left").select("node", F.coalesce("to", "component").alias("component"))
+        labels, first = stash(labels), False
+    return labels if not first else stash(labels)
+
+
+def _ends(pointers: DataFrame, rounds: list[int] | None) -> DataFrame:
+    """was, to: where pointers (to smaller nodes) lead in the end, by doubling."""
+    while True:
+        further = pointers.select(F.col("was").alias("at"), F.col("to").alias("next"))
+        doubled = stash(pointers.join(further, F.col("to") == F.col("at"), "left").select("was", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")))
+        moved = doubled.where("moved").limit(1).count()
+        pointers = doubled.select("was", "to")
+        if rounds is not None:
+            rounds.append(moved)
+        if not moved:
+            return pointers

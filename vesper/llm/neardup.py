@@ -10,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, stash
 from .components import components, local_components
 
 #: Coordinates of a signature, how many must collide for similarity 0.85, and the probability that a pair of the least similarity has fewer.
 COORDINATES, MATCHES, MISS = 32, 17, 4e-6
-#: Rows of a block of signatures, and of whole sets.
-SIGN_BLOCK, SET_BLOCK = 1024, 256
+#: Rows of a block of signatures, and of whole sets; and bytes of a block of sets.
+SIGN_BLOCK, SET_BLOCK, SET_BYTES = 128, 128, 1 << 24
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -63,22 +63,27 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return ((hashes[:, None] * _SEEDS[0] + _SEEDS[1]) >> np.uint64(32)).astype(np.uint32).min(axis=0)
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows that are equal in id and text have one key; others have keys of their own, also where ids are null or repeated."""
+    return docs.select(F.xxhash64(F.col(id_col).cast("long"), text_col).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+
 def profiles(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """doc_id, n_shingles, two hashes of the set, and the signature (binary; empty for an empty set)."""
+    """key (a hash of id and text), doc_id, n_shingles, two hashes of the set, and the signature (binary; empty for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, ones, twos, signs = [], [], [], []
             for at in range(0, batch.num_rows, 256):
-                texts = [t or b"" for t in batch.column(1).slice(at, 256).cast(pa.binary()).to_pylist()]
+                texts = [t or b"" for t in batch.column(2).slice(at, 256).cast(pa.binary()).to_pylist()]
                 for s in shingle_sets(texts, n):
                     sizes.append(len(s))
                     ones.append(int(_mix(s + _A).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0)
                     twos.append(int(_mix(s * _C + _B).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0)
                     signs.append(np.concatenate([signature(s[i : i + 65536])[None] for i in range(0, len(s), 65536)]).min(axis=0).tobytes() if len(s) else b"")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), pa.array(signs, pa.binary())], ["doc_id", "n_shingles", "h1", "h2", "sign"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), pa.array(signs, pa.binary())], ["key", "doc_id", "n_shingles", "h1", "h2", "sign"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, sign binary")
+    return _keyed(docs, id_col, text_col).select("key", "doc_id", "text").mapInArrow(run, "key long, doc_id long, n_shingles long, h1 long, h2 long, sign binary")
 
 
 def _tokens(signs: np.ndarray) -> np.ndarray:
@@ -123,20 +128,46 @@ def postings(classes: DataFrame, hot: dict[int, int], matches: int = MATCHES) ->
     return classes.select("rep", "sign").mapInArrow(run, "token long, rep long")
 
 
-def in_blocks(rows: DataFrame, keys: DataFrame, key: str, payload: list[str], work: Callable[[np.ndarray, np.ndarray, list], tuple[np.ndarray, np.ndarray]], block: int) -> DataFrame:
-    """Edges (a, b) among rows (key, rep, payload) of equal key, without a task for a whole large key.
+def in_blocks(keys: DataFrame, rows_of: Callable[[DataFrame], DataFrame], key: str, payload: list[str], work: Callable[[np.ndarray, np.ndarray, list], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Edges (a, b) whose connected sets are those of all matches among rows of equal key, without a task for a whole large key.
 
-    keys has a row for each of rows with its key alone, from which they are counted: rows themselves are made once.
-    Keys of one row are dropped. A key of m rows is dealt to ceil(m / block) blocks by a hash of rep, and each pair of its
-    blocks is a group of its own, with at most about 2 * block rows. work(group, rep, payload) gets whole groups,
-    as many as make a batch, and returns the positions of matching rows; only the edges of a spanning star of each
-    connected set of the batch go out.
+    keys has a row for each member of a key: key, rep and its weight, the share of a block that it fills. rows_of() adds the
+    payload to rows of keys. Keys of one row are dropped. A key is dealt to as many blocks as its members fill, by a hash of rep.
+    First each block meets the first one, so that twice the rows are sent. What is connected then needs no further
+    comparison: of a key with three blocks or more, the members outside its largest connected set meet all others, by
+    pairs of blocks, and those inside it don't meet each other again. A key of copies of one text is so done in linear
+    time, and what remains quadratic is the number of its members that aren't alike.
     """
-    counts = keys.groupBy(key).agg(F.count("*").alias("_m")).where("_m > 1").select(F.col(key).alias("_key"), F.ceil(F.col("_m") / block).cast("int").alias("_nb"))
+    share = lambda w, n: F.least(F.greatest(F.lit(1), F.ceil(w)), F.greatest(F.lit(1), n)).cast("int")
+    counts = keys.groupBy(key).agg(F.count("*").alias("_m"), F.sum("weight").alias("_w")).where("_m > 1")
+    counts = stash(counts.select(F.col(key).alias("_key"), share(F.col("_w"), F.col("_m")).alias("_nb")))
+    rows = rows_of(keys.select(key, "rep"))
     mine = F.pmod(F.xxhash64("rep"), F.col("_nb")).cast("int")
-    dealt = rows.join(counts, F.col(key) == F.col("_key")).withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
-    dealt = dealt.select(F.col(key).alias("k"), F.least("_mine", "_other").alias("lo"), F.greatest("_mine", "_other").alias("hi"), "rep", *payload)
-    dealt = dealt.repartition("k", "lo", "hi").sortWithinPartitions("k", "lo", "hi", "rep")
+    others = F.when(F.col("_nb") == 1, F.array(F.lit(0))).when(F.col("_mine") == 0, F.sequence(F.lit(1), F.col("_nb") - 1)).otherwise(F.array("_mine"))
+    dealt = rows.join(counts, F.col(key) == F.col("_key")).withColumn("_mine", mine).withColumn("hi", F.explode(others)).withColumn("lo", F.lit(0))
+    edges = stash(_matches_of(dealt, key, payload, work))
+    wide = counts.where("_nb > 2")
+    if not wide.limit(1).count():
+        return edges
+    labels = components(edges).select(F.col("node").alias("_node"), "component")
+    hot = keys.join(wide.select("_key"), F.col(key) == F.col("_key")).join(labels, F.col("rep") == F.col("_node"), "left")
+    hot = stash(hot.select(F.col(key).alias("_hot"), F.col("rep").alias("_rep"), "weight", F.coalesce("component", "rep").alias("label")))
+    sets = hot.groupBy("_hot", "label").agg(F.count("*").alias("m"), F.sum("weight").alias("w"))
+    most = sets.groupBy("_hot").agg(F.max_by("label", F.struct("m", "label")).alias("_most"), F.max(F.struct("m", "label", "w")).alias("top"), F.sum("m").alias("m"), F.sum("w").alias("w")).where(F.col("m") > F.col("top.m"))
+    most = stash(most.select(F.col("_hot").alias("_key"), "_most", share(F.col("top.w"), F.col("top.m")).alias("_na"), share(F.col("w") - F.col("top.w"), F.col("m") - F.col("top.m")).alias("_nb")))
+    placed = hot.join(most, F.col("_hot") == F.col("_key")).withColumn("_few", F.col("label") != F.col("_most"))
+    turn = F.xxhash64("_rep", F.lit(1))
+    placed = placed.withColumn("_mine", F.when(F.col("_few"), F.col("_na") + F.pmod(turn, F.col("_nb"))).otherwise(F.pmod(turn, F.col("_na"))).cast("int"))
+    placed = placed.withColumn("_from", F.when(F.col("_few"), 0).otherwise(F.col("_na"))).withColumn("_to", F.col("_na") + F.col("_nb") - 1).select("_hot", "_rep", "_mine", "_from", "_to")
+    rest = rows_of(placed.select(F.col("_hot").alias(key), F.col("_rep").alias("rep"))).join(placed, (F.col(key) == F.col("_hot")) & (F.col("rep") == F.col("_rep")))
+    rest = rest.withColumn("_other", F.explode(F.sequence("_from", "_to"))).withColumn("lo", F.least("_mine", "_other")).withColumn("hi", F.greatest("_mine", "_other"))
+    return edges.unionByName(_matches_of(rest, key, payload, work))
+
+
+def _matches_of(dealt: DataFrame, key: str, payload: list[str], work: Callable[[np.ndarray, np.ndarray, list], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Edges of groups of equal key, lo and hi. work(group, rep, payload) gets whole groups, as many as make a batch, and returns
+    the positions of matching rows; only the edges of a spanning star of each connected set of the batch go out."""
+    dealt = dealt.select(F.col(key).alias("k"), "lo", "hi", "rep", *payload).repartition("k", "lo", "hi").sortWithinPartitions("k", "lo", "hi", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -232,32 +263,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     coordinate-value pairs of their MinHash signature, the rarest first and only as many as least_matches(percent)
     needs; pairs met in a posting list count their collisions over the whole signature. Classes joined by enough of them
     make a family. In a family, blocks of whole shingle sets are held against each other: every pair in it is
-    confirmed or refused exactly, and the links' components are the result. Long lists and large families are cut into
-    pairs of blocks, and only spanning edges leave a task.
+    confirmed or refused exactly, unless other links connect it already, and the links' components are the result. Long lists and large families are cut into
+    pairs of blocks, bounded in rows and bytes, and only spanning edges leave a task.
 
-    Null text, or without words: an empty set, linked with nothing. Repeated ids: rows count as one document for links.
-    Empty table: no rows. Other columns of docs are ignored.
+    Null text, or without words: an empty set, linked with nothing. Null and repeated ids: each row is a document of its own;
+    component_id is the smallest id that isn't null, or null if all that are linked are, and is compared null-safe. Empty table: no rows. Other columns of docs are ignored.
     """
     matches = least_matches(percent)
     profile = cut(profiles(docs, id_col, text_col, n))
-    classes = cut(profile.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sign").alias("sign")))
+    classes = cut(profile.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("key").alias("rep"), F.min("doc_id").alias("least"), F.first("sign").alias("sign")))
     total = classes.count()
     if total > 1:
         tokens = _token_counts(classes, max(64, total // 1000))
         posted = postings(classes, tokens, matches)
         posted = cut(posted.join(posted.groupBy("token").count().where("count > 1").select("token"), "token"))
-        signed = posted.join(classes.select("rep", "sign"), "rep")
-        families = components(in_blocks(signed, posted.select("token"), "token", ["sign"], _collide(matches), SIGN_BLOCK))
-        members = families.select(F.col("node").alias("rep"), F.col("component").alias("family"))
-        texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-        sets = _sets(texts.join(members, "rep"), n)
-        links = components(in_blocks(sets, members.select("family"), "family", ["shingles"], _linked(percent), SET_BLOCK))
+        signs = classes.select("rep", "sign")
+        families = components(in_blocks(posted.withColumn("weight", F.lit(1 / SIGN_BLOCK)), lambda some: some.join(signs, "rep"), "token", ["sign"], _collide(matches)))
+        members = families.select(F.col("node").alias("rep"), F.col("component").alias("family")).join(classes.select("rep", "n_shingles"), "rep")
+        members = stash(members.select("family", "rep", (F.lit(1 / SET_BLOCK) + F.col("n_shingles") * (8 / SET_BYTES)).alias("weight")))
+        texts = _keyed(docs, id_col, text_col).select(F.col("key").alias("rep"), "text")
+        whole = lambda some: _sets(texts.join(some, "rep").groupBy("rep").agg(F.first("family").alias("family"), F.first("text").alias("text")), n)
+        links = components(in_blocks(members, whole, "family", ["shingles"], _linked(percent)))
+        least = links.join(classes.select(F.col("rep").alias("node"), "least"), "node").groupBy("component").agg(F.min("least").alias("smallest"))
+        links = links.join(least, "component").select("node", "smallest")
     else:
-        links = classes.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0)
-    placed = classes.select("h1", "h2", F.col("n_shingles").alias("_n"), "rep").join(links, F.col("rep") == F.col("node"), "left").select("h1", "h2", "_n", F.coalesce("component", "rep").alias("component_id"))
+        links = classes.select(F.col("rep").alias("node"), F.col("least").alias("smallest")).limit(0)
+    placed = classes.select("h1", "h2", F.col("n_shingles").alias("_n"), "rep", "least").join(links, F.col("rep") == F.col("node"), "left").select("h1", "h2", "_n", F.coalesce("smallest", "least").alias("component_id"))
     found = profile.join(placed, (profile.h1 == placed.h1) & (profile.h2 == placed.h2) & (profile.n_shingles == placed._n), "left")
-    component = F.coalesce("component_id", "doc_id")
-    return found.select(F.col("doc_id").alias(id_col), "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    component = F.when(F.col("_n").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return found.select(F.col("doc_id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def _token_counts(classes: DataFrame, least: int) -> dict[int, int]:
