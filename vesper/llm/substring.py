@@ -14,8 +14,10 @@ from .common import stash
 
 LENGTH, GRAM = 200, 64
 BLOCK = 1024
-#: Bytes that are hashed at once.
+#: Bytes that are hashed at once; longer texts are hashed in pieces.
 BATCH = 1 << 20
+#: Tasks that the copies of one passage are spread over.
+SALTS = 32
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _PLACE = np.uint64((1 << 28) - 1)
 
@@ -78,17 +80,22 @@ def passages(raw: np.ndarray, starts: np.ndarray, length: int = LENGTH, gram: in
     return text, first - starts[text], last - starts[text], a - first, h[a].view(np.int64), content.view(np.int64)
 
 
-def _batches(ids: list, texts: list[bytes]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-    held, size, own = [], 0, []
+def _batches(ids: list, texts: list[bytes], length: int) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, places in their texts, joined bytes and starts of the pieces of a batch. Pieces of a long text overlap by length - 1
+    bytes, so that each window lies in just one."""
+    held, own, places, size = [], [], [], 0
     for i, t in zip(ids, texts, strict=True):
-        held.append(t)
-        own.append(i)
-        size += len(t)
-        if size >= BATCH:
-            yield own, *_joined(held)
-            held, size, own = [], 0, []
+        for at in range(0, max(1, len(t) - length + 1), BATCH):
+            piece = t[at : at + BATCH + length - 1]
+            held.append(piece)
+            own.append(i)
+            places.append(at)
+            size += len(piece)
+            if size >= BATCH:
+                yield own, np.array(places, np.int64), *_joined(held)
+                held, own, places, size = [], [], [], 0
     if held:
-        yield own, *_joined(held)
+        yield own, np.array(places, np.int64), *_joined(held)
 
 
 def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -98,9 +105,10 @@ def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def anchored(texts: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, raw, starts in _batches(batch.column(0).to_pylist(), [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]):
+            for ids, places, raw, starts in _batches(batch.column(0).to_pylist(), [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()], length):
                 text, first, last, lead, anchor, content = passages(raw, starts, length, gram)
                 if len(text):
+                    first, last = first + places[text], last + places[text]
                     yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(content), pa.array(np.array(ids, np.int64)[text]), *(pa.array(x.astype(np.int32)) for x in (first, last, lead))], ["anchor", "content", "doc", "first", "last", "lead"])
 
     return texts.mapInArrow(run, "anchor long, content long, doc long, first int, last int, lead int")
@@ -121,8 +129,8 @@ def _range_min(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndar
     return out
 
 
-def repeated_windows(passage: list[bytes], lead: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """For each passage and column, whether its window from there recurs in another passage at the same column.
+def repeated_windows(passage: list[bytes], lead: np.ndarray, length: int = LENGTH, group: np.ndarray | None = None) -> np.ndarray:
+    """For each passage and column, whether its window from there recurs in another passage (of its group) at the same column.
 
     Passages stand side by side with their anchors in one column. Each round inserts the next column's symbol of
     every passage, from right to left: the order of the suffixes from that column follows from the order of
@@ -147,6 +155,8 @@ def repeated_windows(passage: list[bytes], lead: np.ndarray, length: int = LENGT
             order = np.concatenate([new, order])
         there = np.flatnonzero(lead[order] >= -c)
         symbol = columns[c + left][order]
+        if group is not None:
+            symbol = group[order] * 256 + symbol
         to = there[np.argsort(symbol[there], kind="stable")]
         if not len(to):
             break
@@ -162,19 +172,64 @@ def repeated_windows(passage: list[bytes], lead: np.ndarray, length: int = LENGT
     return found
 
 
-def _recurring(wanted: DataFrame, length: int, block: int) -> DataFrame:
+def _recurring(wanted: DataFrame, length: int, gram: int, block: int) -> DataFrame:
     """doc, first, last: windows of passages that occur once, but share windows with other passages of their anchor.
 
-    An anchor with many passages is dealt to blocks, and each pair of blocks meets in a group of its own.
+    wanted: anchor, n, doc, first, lead, passage. The windows of an anchor lie in columns gram - length to 0, and two
+    passages that share a window in some columns share the bytes that all windows from these columns have: for all
+    columns, the anchor. A group of more than `block` passages is split by halving its columns: for each half, its passages are
+    grouped by the bytes that they must share. Groups of `block` or fewer go to the column-wise construction,
+    and one column's group is equal windows. So a passage is sent at most twice a level, and no two blocks need be held
+    against each other, however many different passages an anchor has.
     """
-    counts = wanted.groupBy("anchor").agg(F.count("*").alias("_m")).select(F.col("anchor").alias("_anchor"), F.ceil(F.col("_m") / block).cast("int").alias("_nb"))
-    dealt = wanted.join(counts, F.col("anchor") == F.col("_anchor")).withColumn("_mine", F.pmod(F.xxhash64("content"), "_nb").cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
-    dealt = dealt.select("anchor", F.least("_mine", "_other").alias("lo"), F.greatest("_mine", "_other").alias("hi"), (F.col("_nb") > 1).alias("split"), "n", "doc", "first", "lead", "passage")
-    dealt = dealt.repartition("anchor", "lo", "hi").sortWithinPartitions("split", "anchor", "lo", "hi")
+    level = wanted.select(F.col("anchor").alias("key"), F.lit(gram - length).alias("low"), F.lit(0).alias("high"), "n", "doc", "first", "lead", "passage")
+    found, width = [], length - gram + 1
+    while True:
+        level = stash(level)
+        counts = stash(level.groupBy("key").agg(F.count("*").alias("_m"), F.min("n").alias("_least")).where("_m > 1 AND _least = 1").select(F.col("key").alias("_key"), "_m"))
+        met = level.join(counts, F.col("key") == F.col("_key"))
+        if width == 1:
+            found.append(met.where("n = 1").select("doc", (F.col("first") + F.col("lead") + F.col("low")).alias("first"), (F.col("first") + F.col("lead") + F.col("low")).alias("last")))
+            break
+        found.append(_solved(met.where(F.col("_m") <= block).drop("_key", "_m"), length))
+        if not counts.where(F.col("_m") > block).limit(1).count():
+            break
+        level, width = _halved(met.where(F.col("_m") > block).drop("_key", "_m"), length), (width + 1) // 2
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every
+
+
+def _halved(rows: DataFrame, length: int) -> DataFrame:
+    """Rows cut to either half of their columns, with the hash of the bytes that windows from all of these columns share as key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                begin, end = -r["lead"], len(r["passage"]) - r["lead"] - length  # its columns
+                middle = (r["low"] + r["high"]) // 2
+                for low, high in ((r["low"], middle), (middle + 1, r["high"])):
+                    if low > high or high < begin or low > end:
+                        continue
+                    shared = r["passage"][high + r["lead"] : low + length + r["lead"]]
+                    key = int.from_bytes(hashlib.blake2b(b"%d %d %d " % (r["key"], low, high) + shared, digest_size=8).digest(), "little", signed=True)
+                    a, b = max(0, low + r["lead"]), high + length + r["lead"]
+                    out.append((key, low, high, r["n"], r["doc"], r["first"] + a, r["lead"] - a, r["passage"][a:b]))
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], ["key", "low", "high", "n", "doc", "first", "lead", "passage"])
+
+    return rows.mapInArrow(run, "key long, low int, high int, n long, doc long, first int, lead int, passage binary")
+
+
+def _solved(rows: DataFrame, length: int) -> DataFrame:
+    """doc, first, last of recurring windows of groups of equal key, as many of them at a time as make a batch."""
+    dealt = rows.repartition("key").sortWithinPartitions("key")
 
     def solve(t: pa.Table) -> pa.RecordBatch:
-        n, doc, first, lead = (t[c].to_numpy() for c in ("n", "doc", "first", "lead"))
-        found = repeated_windows(t["passage"].to_pylist(), lead.astype(np.int64), length)
+        key, n, doc, first, lead = (t[c].to_numpy() for c in ("key", "n", "doc", "first", "lead"))
+        found = repeated_windows(t["passage"].to_pylist(), lead.astype(np.int64), length, np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])))
         found[n > 1] = False  # covered as a whole, elsewhere
         edge = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         row, low = np.nonzero(edge == 1)
@@ -185,31 +240,19 @@ def _recurring(wanted: DataFrame, length: int, block: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         size = 0
-
-        def groups(t: pa.Table, final: bool) -> Iterator[pa.Table]:
-            """Whole groups: those of one block together, a pair of blocks by itself. The rest is held."""
-            key = np.stack([t[c].to_numpy().astype(np.int64) for c in ("anchor", "lo", "hi")], axis=1)
-            bounds = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(t)]])
-            done = len(t) if final else int(bounds[-2])
-            split = t["split"].to_numpy()
-            at = int(np.argmax(split)) if split.any() else len(t)
-            if min(at, done):
-                yield t.slice(0, min(at, done))
-            for b, e in zip(bounds[:-1], bounds[1:], strict=True):
-                if b >= at and e <= done:
-                    yield t.slice(b, e - b)
-            held[:] = [t.slice(done)]
-
         for batch in batches:
             held.append(pa.Table.from_batches([batch]))
             size += batch.nbytes
-            if size >= 1 << 22:
-                for part in groups(pa.concat_tables(held).combine_chunks(), False):
-                    yield solve(part)
-                size = sum(h.nbytes for h in held)
+            if size < 1 << 22:
+                continue
+            t = pa.concat_tables(held).combine_chunks()
+            key = t["key"].to_numpy()
+            at = int(np.argmax(key == key[-1]))  # the last group may go on
+            if at:
+                yield solve(t.slice(0, at))
+            held, size = [t.slice(at)], t.slice(at).nbytes
         if held and sum(map(len, held)):
-            for part in groups(pa.concat_tables(held).combine_chunks(), True):
-                yield solve(part)
+            yield solve(pa.concat_tables(held).combine_chunks())
 
     return dealt.mapInArrow(run, "doc long, first int, last int")
 
@@ -230,13 +273,17 @@ def repeated(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, block: in
     mixed = shared.where("not whole")
     kinds = mixed.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("doc", "first", "last", "lead")).alias("one"))
     kinds = stash(kinds)
-    copied = mixed.join(kinds.where("n > 1").select(F.col("anchor").alias("_a"), F.col("content").alias("_c")), (F.col("anchor") == F.col("_a")) & (F.col("content") == F.col("_c")))
+    # the copies of a passage are spread by a hash of their place, and its row meets them in as many tasks
+    many = kinds.where("n > 1").select(F.col("anchor").alias("_a"), F.col("content").alias("_c"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_s"))
+    salted = mixed.withColumn("_salt", F.pmod(F.xxhash64("doc", "first"), F.lit(SALTS)).cast("int"))
+    copied = salted.join(many, (F.col("anchor") == F.col("_a")) & (F.col("content") == F.col("_c")) & (F.col("_salt") == F.col("_s")))
     open_ = kinds.groupBy("anchor").agg(F.min("n").alias("_least")).where("_least = 1").select(F.col("anchor").alias("_a"))
     wanted = kinds.join(open_, F.col("anchor") == F.col("_a")).select("anchor", "content", "n", "one.*")
     per_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("anchor", "content", "n", "first", "last", "lead")).alias("passages"))
-    found = _recurring(_cut_out(texts.join(per_doc.withColumnRenamed("doc", "_doc"), F.col("doc") == F.col("_doc")).select("doc", "text", "passages"), length), length, block)
+    once = texts.join(per_doc.withColumnRenamed("doc", "_doc"), F.col("doc") == F.col("_doc")).groupBy("doc").agg(F.first("text").alias("text"), F.first("passages").alias("passages"))
+    found = _recurring(_cut_out(once, length), length, gram, block)
     every = shared.where("whole").select("doc", "first", "last").unionByName(copied.select("doc", "first", "last")).unionByName(found)
-    return every.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    return every.groupBy("doc").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
 
 def _cut_out(rows: DataFrame, length: int) -> DataFrame:
@@ -257,7 +304,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Every byte of the UTF-8 text that a `length`-byte string covers which also starts elsewhere, in this or another
     document, is removed. Matches never cross documents and are judged on the input. Null text: empty. Shorter texts
-    lose nothing. Each row is a document of its own, also where its id is null or repeated. Empty table: no rows.
+    lose nothing. Each row is a document of its own, also where its id is null or repeated. Places are 32 bits wide, as Spark's
+    strings are of less than 2 GB; long texts are hashed in pieces. Empty table: no rows.
     """
     # rows are joined by a hash of id and text: rows equal in both lose the same bytes
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col).cast("long"), text_col).alias("doc"), F.col(text_col).alias("text"))
