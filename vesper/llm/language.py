@@ -31,6 +31,15 @@ def _slots(text: str, orders: tuple[int, ...]) -> Iterator[np.ndarray]:
             yield ((code ^ (code >> np.uint32(16))) * np.uint32(0xC2B2AE35)) >> np.uint32(32 - SLOTS)
 
 
+def grams(text: str, orders: tuple[int, ...] = ORDERS) -> np.ndarray:
+    """The different slots of a text's n-grams, sorted."""
+    found = np.zeros(1 << SLOTS, bool)
+    for at in range(0, max(1, len(text)), PIECE):
+        for slots in _slots(text[at : at + PIECE + max(orders) - 1], orders):
+            found[slots] = True
+    return np.flatnonzero(found).astype(np.int32)
+
+
 def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
@@ -94,19 +103,26 @@ class Model:
         return [lang != UNKNOWN and (score >= least or self.known(text) >= known) for text, lang, score in zip(texts, langs, scores, strict=True)]
 
 
-def train(rows: list[tuple[str, str]], landmarks: int = 64, ridge: float = 1e-3, orders: tuple[int, ...] = ORDERS) -> Model:
-    """A model of (text, lang) rows; the first `landmarks` texts of each language are landmarks."""
+def train(rows: list[tuple[str | np.ndarray, str]], landmarks: int = 64, ridge: float = 1e-3, orders: tuple[int, ...] = ORDERS) -> Model:
+    """A model of (text or its grams(), lang) rows; the first `landmarks` texts of each language are landmarks."""
+    rows = [(grams(t, orders) if isinstance(t, str) else t, lang) for t, lang in rows]
     langs = tuple(sorted({lang for _, lang in rows}))
     empty = Model(langs, np.full(1 << SLOTS, -1, np.int32), np.zeros((0, len(langs)), np.float32), np.zeros(len(langs), np.float32), orders)
     if not langs:
         return empty
     by = {lang: [t for t, x in rows if x == lang] for lang in langs}
     marks = [t for lang in langs for t in by[lang][:landmarks]]
-    slots = np.unique(np.concatenate([s for t in marks for s in _slots(t, orders)]))
+    slots = np.unique(np.concatenate(marks))
     columns = np.full(1 << SLOTS, -1, np.int32)
     columns[slots] = np.arange(len(slots))
-    shape = Model(langs, columns, np.zeros((len(slots), 1)), empty.bias, orders)
-    unit = lambda texts: (p := shape.presence(texts, len(slots)).astype(np.float32)) / np.sqrt(np.maximum(p.sum(axis=1, keepdims=True), 1))
+
+    def unit(texts: list[np.ndarray]) -> np.ndarray:
+        p = np.zeros((len(texts), len(slots) + 1), np.float32)
+        for row, t in enumerate(texts):
+            p[row, columns[t]] = 1
+        p = p[:, :-1]
+        return p / np.sqrt(np.maximum(p.sum(axis=1, keepdims=True), 1))
+
     at_marks = unit(marks)
     values, vectors = np.linalg.eigh((at_marks @ at_marks.T).astype(np.float64))
     keep = values > 1e-6 * values.max()
@@ -120,22 +136,50 @@ def train(rows: list[tuple[str, str]], landmarks: int = 64, ridge: float = 1e-3,
     return Model(langs, columns, (at_marks.T @ (root @ solved)).astype(np.float32), (target.mean(axis=0) - mean @ solved).astype(np.float32), orders)
 
 
-def sample(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 300) -> list[tuple[str, str]]:
-    """At most `per_language` whole texts of each language for training, those of smallest hash of the text.
+def sample(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 300, orders: tuple[int, ...] = ORDERS) -> list[tuple[np.ndarray, str]]:
+    """The grams() of at most `per_language` whole texts of each language for training, those of smallest hash of the text.
 
-    This is the one thing the classifier learns from, and its size has this bound. Each language's different texts are
-    counted first, by their hash, as copies pass or fail together; texts below a hash that more than twice as many pass, and all of a
-    language with few, are ranked on the executors. Fewer than min(per_language, different texts) pass with a probability under 1e-9.
+    This is the one thing the classifier learns from, and its size has this bound: a text's n-gram slots take at most
+    2 ** SLOTS bits, however long it is. Each language's different texts are counted first, by their hash, as copies pass
+    or fail together. Hashes below one that more than twice as many pass, and all of a language with few, are
+    ranked on the driver (fewer than min(per_language, different texts) pass with a probability under 1e-9); the texts chosen
+    are fetched by their hashes, one copy each, and turned into slots on the executors.
     """
     fine = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     fine = fine.withColumn("_h", F.xxhash64("text"))
-    counts = dict(fine.groupBy("lang", "_h").agg(F.lit(1).alias("n")).groupBy("lang").count().collect())
+    kinds = fine.groupBy("lang", "_h").agg(F.lit(1).alias("n"))
+    counts = dict(kinds.groupBy("lang").count().collect())
     if not counts:
         return []
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, (2 * per_language + 64) / n))])
-    fine = fine.where(F.pmod("_h", F.lit(1 << 30)) <= share[F.col("lang")] * (1 << 30))
-    top = fine.groupBy("lang").agg(F.slice(F.array_sort(F.collect_set(F.struct("_h", "text"))), 1, per_language).alias("top"))
-    return [(x["text"], r["lang"]) for r in sorted(top.collect(), key=lambda r: r["lang"]) for x in r["top"]]
+    hashes: dict[str, list[int]] = {lang: [] for lang in sorted(counts)}
+    for r in kinds.where(F.pmod("_h", F.lit(1 << 30)) <= share[F.col("lang")] * (1 << 30)).collect():
+        hashes[r["lang"]].append(r["_h"])
+    chosen = [(lang, h) for lang, found in hashes.items() for h in sorted(found)[:per_language]]
+    few = labelled.sparkSession.createDataFrame(chosen, "lang string, _h long")
+    texts = fine.join(F.broadcast(few), ["lang", "_h"]).groupBy("lang", "_h").agg(F.first("text").alias("text"))  # at most per_language rows a language
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = [_packed(grams(t, orders)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("_h"), pa.array(data, pa.binary())], ["lang", "_h", "slots"])
+
+    found = {(r["lang"], r["_h"]): _unpacked(bytes(r["slots"])) for r in texts.mapInArrow(run, "lang string, _h long, slots binary").collect()}
+    return [(found[x], x[0]) for x in chosen]
+
+
+def _packed(slots: np.ndarray) -> bytes:
+    """Slots as 32-bit numbers or, where that is shorter, as bits."""
+    if 32 * len(slots) < 1 << SLOTS:
+        return slots.astype("<i4").tobytes()
+    bits = np.zeros(1 << SLOTS, bool)
+    bits[slots] = True
+    return np.packbits(bits).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8)
+    return np.flatnonzero(np.unpackbits(raw)).astype(np.int32) if 8 * len(raw) == 1 << SLOTS else np.frombuffer(data, "<i4")
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 300, landmarks: int = 64) -> Model:

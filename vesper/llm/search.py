@@ -18,14 +18,15 @@ def maxscore(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k
     bound ignores and the probe subtracts. Terms are ordered by their bound |q_d| * (largest posted size). Those
     whose bounds together stay below the k-th best score so far are non-essential: a row posted only there can't
     enter. Rows of essential postings are gathered, and dimensions are probed by falling bound while
-    partial score + bounds of the dimensions left can still reach the k-th best.
+    partial score + bounds of the dimensions left can still reach the k-th best, which rises as the best partial
+    scores are completed. x and q may be of float64, where all sums of products are whole numbers below 2 ** 53.
     """
     n, dims = x.shape
     top, low = (x.max(axis=0), x.min(axis=0)) if n else (np.zeros(dims, np.int64), np.zeros(dims, np.int64))
     up, down = np.maximum(top, 0), np.maximum(-low, 0)
     by_dim = np.ascontiguousarray(x.T)
     order = np.argsort(-by_dim, axis=1, kind="stable").astype(np.int32)
-    positive, negative = (by_dim > 0).sum(axis=1), (by_dim < 0).sum(axis=1)
+    posted = {1: by_dim > 0, -1: by_dim < 0}  # the rows of each posting list
     for qi, w in zip(q_ids, q, strict=True):
         bound = np.where(w > 0, w * up, -w * down)
         terms = np.argsort(-bound, kind="stable")
@@ -40,20 +41,23 @@ def maxscore(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k
             alive, t = np.arange(n), 0
         else:
             essential = int(np.searchsorted(-left[:-1], -theta, side="right"))  # left[essential:] < theta
-            if theta <= 0 or essential * 4 >= len(terms):  # postings of so many terms hold nearly every row
+            if theta <= 0:  # rows of no posting reach it too
                 alive = np.arange(n)
             else:
-                seen = np.zeros(n, bool)
-                for d in terms[:essential]:
-                    seen[order[d, : positive[d]] if w[d] > 0 else order[d, n - negative[d] :]] = True
-                alive = np.flatnonzero(seen)
+                lists = [posted[1 if w[d] > 0 else -1][d] for d in terms[:essential]]
+                alive = np.flatnonzero(np.logical_or.reduce(lists)) if lists else np.zeros(0, int)
             t = 0
-        part = np.zeros(len(alive), np.int64)
+        part = np.zeros(len(alive), x.dtype)
         while t < len(terms):
             step = terms[t : t + 8]
             part += x[np.ix_(alive, step)] @ w[step] if len(alive) < n else x[:, step] @ w[step]
             t += len(step)
-            if theta is not None:
+            if theta is not None and len(alive):
+                if len(alive) > 4 * k and t < len(terms):
+                    first = alive[np.argpartition(-part, 2 * k)[: 2 * k + 1]]
+                    scores = x[first[ids[first] != qi]] @ w
+                    if len(scores) >= k:
+                        theta = max(theta, np.partition(scores, len(scores) - k)[len(scores) - k])
                 keep = part + left[t] >= theta
                 alive, part = alive[keep], part[keep]
         keep = ids[alive] != qi
@@ -81,14 +85,19 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
     a bounded number of rows at any input size.
 
     Vectors that are null, empty, or hold null or non-finite components take no part; vectors of another length
-    than the query's count as zero where they have no component. Repeated ids: each row is a candidate but for the
+    than the query's count as zero where they have no component. Components so large that a score could pass 2 ** 63
+    raise a ValueError. Repeated ids: each row is a candidate but for the
     query's own id, and equal queries count once. Fewer than k candidates: all. Empty table: no rows.
     """
     raw = F.transform(F.col(vector_col), lambda x: F.floor(x.cast("double") * scale))
     fine = F.col(id_col).isNotNull() & (F.size(vector_col) > 0) & F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) != float("inf")))
     rows = vectors.where(fine).select(F.col(id_col).cast("long").alias("id"), F.size(vector_col).alias("dims"), raw.alias("v"), is_query.alias("q"))
-    n, n_q, dims = rows.agg(F.count("*"), F.count_if("q"), F.max("dims")).first()
+    n, n_q, dims, low, high = rows.agg(F.count("*"), F.count_if("q"), F.max("dims"), F.min(F.array_min("v")), F.max(F.array_max("v"))).first()
     dims = dims or 0
+    most = dims * max(abs(low or 0), abs(high or 0)) ** 2
+    if most >= 1 << 63:
+        raise ValueError(f"scores of {dims} components between {low} and {high} don't fit in 63 bits")
+    kind = np.float64 if most < 1 << 53 else np.int64  # whole numbers either way
     shards, blocks = max(1, -(-n // shard)), max(1, -(-n_q // block))
     wide = F.when(F.col("dims") == dims, F.col("v")).otherwise(F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(dims) - F.col("dims")))).alias("v")
     rows = rows.select("id", wide, "q", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("s"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("b"))
@@ -97,7 +106,7 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
 
     def search(mine: pa.Table, asked: pa.Table) -> pa.Table:
         ids, q_ids = mine["id"].to_numpy(), asked["id"].to_numpy()
-        out = [(np.full(len(i), qi), i, s) for qi, i, s in maxscore(ids, _matrix(mine["v"], dims), q_ids, _matrix(asked["v"], dims), k)] if len(ids) and len(q_ids) else []
+        out = [(np.full(len(i), qi), i, s.astype(np.int64)) for qi, i, s in maxscore(ids, _matrix(mine["v"], dims).astype(kind), q_ids, _matrix(asked["v"], dims).astype(kind), k)] if len(ids) and len(q_ids) else []
         names = ("query_id", "id", "score")
         return pa.table({c: pa.array(np.concatenate([o[j] for o in out]) if out else [], pa.int64()) for j, c in enumerate(names)})
 

@@ -32,7 +32,8 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     Of records with equal payloads of `least` bytes or more, that with the largest id is the response and the others
     revisit it. The choice is an aggregate by digest, which is combined before it is shuffled; only digests that occur
     again are joined back, `salts` times over, so that a payload that a third of the records share is spread.
-    Null payload: empty. Rows with equal id and payload: all are responses. Null url: empty.
+    Null payload: empty. Rows with equal id and payload: all are responses. Null url: empty. Null id: a response, which
+    no other record refers to.
     """
     payload = F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).cast("long").alias("record_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("payload"))
@@ -54,11 +55,21 @@ def chunks(recs: DataFrame, size: int = CHUNK) -> DataFrame:
     return cut_up.select("record_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "chunk", F.substring("_data", F.col("chunk") * size + 1, F.lit(size)).alias("data"), (F.col("chunk") == n - 1).alias("last"))
 
 
+def _urn(record_id: int | None) -> str:
+    return f"urn:vesper:{'null' if record_id is None else record_id}"
+
+
+def _id(urn: str | None) -> int | None:
+    """The id in <urn:vesper:id>."""
+    name = urn.rpartition(":")[2][:-1] if urn else "null"
+    return None if name == "null" else int(name)
+
+
 def _head(r: dict) -> bytes:
     length = r["payload_bytes"] if r["record_type"] == "response" else 0
-    lines = ["WARC/1.0", f"WARC-Type: {r['record_type']}", f"WARC-Record-ID: <urn:vesper:{r['record_id']}>", f"WARC-Date: {EPOCH}", "WARC-Target-URI: " + " ".join(r["url"].split()), f"WARC-Payload-Digest: sha1:{r['payload_digest']}", f"X-Payload-Length: {r['payload_bytes']}"]
+    lines = ["WARC/1.0", f"WARC-Type: {r['record_type']}", f"WARC-Record-ID: <{_urn(r['record_id'])}>", f"WARC-Date: {EPOCH}", "WARC-Target-URI: " + " ".join(r["url"].split()), f"WARC-Payload-Digest: sha1:{r['payload_digest']}", f"X-Payload-Length: {r['payload_bytes']}"]
     if r["refers_to"] is not None:
-        lines += [f"WARC-Refers-To: <urn:vesper:{r['refers_to']}>", "WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"]
+        lines += [f"WARC-Refers-To: <{_urn(r['refers_to'])}>", "WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"]
     return ("\r\n".join([*lines, "Content-Type: text/html; charset=utf-8", f"Content-Length: {length}"]) + "\r\n\r\n").encode()
 
 
@@ -155,8 +166,7 @@ def read(spark: SparkSession, manifest: DataFrame, chunk: int = CHUNK, payloads:
             while (head := stream.head()) is not None:
                 fields = {k.lower(): v.strip() for k, _, v in (line.partition(":") for line in head.decode().split("\r\n")[1:])}
                 left, k, digest = int(fields["content-length"]), 0, hashlib.sha1()
-                to = fields.get("warc-refers-to")
-                row = [uri, int(fields["warc-record-id"].rpartition(":")[2][:-1]), fields["warc-target-uri"], fields["warc-type"], to and int(to.rpartition(":")[2][:-1]), int(fields["x-payload-length"]), fields["warc-payload-digest"].partition(":")[2]]
+                row = [uri, _id(fields["warc-record-id"]), fields["warc-target-uri"], fields["warc-type"], _id(fields.get("warc-refers-to")), int(fields["x-payload-length"]), fields["warc-payload-digest"].partition(":")[2]]
                 while True:
                     piece = bytearray()
                     while left and len(piece) < chunk:
