@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,10 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where none is set, as in tests."""
+    """The folder all executors share (spark.checkpoint.dir). A temporary one is made only where none is set and Spark runs in
+    one process, as in tests; on a cluster a missing setting is an error, as executors couldn't read each other's folders."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vesper-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="vesper-"))
     return sc.getCheckpointDir()
 
 
@@ -64,9 +69,22 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, ou
     return df.withColumn("_in", F.sum(value).over(within)).join(sums, [*keys, "_b"]).withColumn(out, F.col("_before") + F.col("_in")).drop("_b", "_before", "_in")
 
 
+_stashed: list[str] = []
+
+
 def stash(df: DataFrame) -> DataFrame:
-    """As cut(), for larger tables: compressed Parquet in the shared checkpoint folder, read back."""
+    """As cut(), for larger tables: compressed Parquet in the shared checkpoint folder, read back. It stays until release()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/stash-{uuid.uuid4().hex}"
+    _stashed.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes what stash() has written so far; for callers that have read or written the results. Returns how many tables."""
+    gone = 0
+    while _stashed:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_stashed.pop())
+        gone += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
