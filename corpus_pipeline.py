@@ -12,6 +12,7 @@ from vesper.llm import language, mixing, neardup, packing, secrets
 from vesper.llm.common import shared_dir, stash, table
 from vesper.session import ship
 
+#: What the stages pass on; other columns of documents are left out.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A text is rejected if its best score is less than MIN_SCORE of the way from 1 / L to 1 (with L languages the margins sum to 2 - L, so that no best
 #: score is below 1 / L), and less than MIN_KNOWN of its trigrams occur in a landmark: a text between two languages is unsure, but not unknown.
@@ -70,6 +71,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of at most 2048 tokens of each row's text, with its place in a sequence; rows that are equal take places of their own."""
     return packing.pack(packing.pieces(docs))
 
 
