@@ -282,7 +282,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         members = families.select(F.col("node").alias("rep"), F.col("component").alias("family")).join(classes.select("rep", "n_shingles"), "rep")
         members = stash(members.select("family", "rep", (F.lit(1 / SET_BLOCK) + F.col("n_shingles") * (8 / SET_BYTES)).alias("weight")))
         texts = _keyed(docs, id_col, text_col).select(F.col("key").alias("rep"), "text")
-        whole = lambda some: _sets(texts.join(some, "rep").groupBy("rep").agg(F.first("family").alias("family"), F.first("text").alias("text")), n)
+        # whole texts meet their members by one shuffle at every size, and their sets are written once
+        sets = texts.hint("merge").join(members.select("family", "rep"), "rep").groupBy("rep").agg(F.first("family").alias("family"), F.first("text").alias("text"))
+        sets = stash(_sets(sets, n)).select("rep", "shingles")
+        whole = lambda some: some.join(sets, "rep")
         links = components(in_blocks(members, whole, "family", ["shingles"], _linked(percent)))
         least = links.join(classes.select(F.col("rep").alias("node"), "least"), "node").groupBy("component").agg(F.min("least").alias("smallest"))
         links = links.join(least, "component").select("node", "smallest")
