@@ -16,7 +16,7 @@ from .components import components, local_components
 #: Coordinates of a signature, how many must collide for similarity 0.85, and the probability that a pair of the least similarity has fewer.
 COORDINATES, MATCHES, MISS = 32, 17, 4e-6
 #: Rows of a block of signatures, and of whole sets; and bytes of a block of sets.
-SIGN_BLOCK, SET_BLOCK, SET_BYTES = 128, 128, 1 << 24
+SIGN_BLOCK, SET_BLOCK, SET_BYTES = 64, 64, 1 << 24
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
