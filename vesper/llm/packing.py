@@ -6,6 +6,7 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +16,13 @@ from pyspark.sql import functions as F
 from .common import cut, pow2
 
 #: White space that str.split() knows and tokenisers don't: texts with it are tokenised whole.
-_ODD = re.compile("[\x1c-\x1f]")
+_ODD = "\x1c\x1d\x1e\x1f"
 #: Words of the cache, and the most characters that a word in it has.
 CACHE, LONGEST = 1_000_000, 64
+#: Characters of the texts whose new words are learned together.
+TOGETHER = 1 << 20
+#: Latin letters whose lower case is a letter (U+0130 is left out), and a mark after them.
+_WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,;:!?]?)")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -31,9 +36,13 @@ class WordTokens:
 
     For tokenizers that ignore case, drop white space and split at it and between letters and punctuation, so that
     a text's ids are its words' ids in order, and a word's are those of its lower-case form without the mark at its
-    end, then the mark's. Only a mark after ASCII letters is split off: others may lower-case to letters with a combining
+    end, then the mark's. Only a mark after Latin letters is split off: others may lower-case to letters with a combining
     mark, which takes the mark with it. The cache is emptied when it passes CACHE words, and words of more than LONGEST
-    characters aren't kept beyond their text, which bounds a worker's memory.
+    characters aren't kept beyond their texts, which bounds a worker's memory.
+
+    Where each piece of a word ends with a token that has the vocabulary's end-of-word suffix, new words of letters are
+    encoded as one text and cut at those tokens. Each word has one such token at least, so as many as words means one each;
+    if there are more, the words are encoded one by one.
     """
 
     def __init__(self, path: str):
@@ -43,44 +52,75 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.encoder, self.cache = Tokenizer.from_file(path), {}
+        suffix = getattr(self.encoder.model, "end_of_word_suffix", None)
+        vocabulary = self.encoder.get_vocab()
+        last = [i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        # every byte must have a token at the end of a word: else a word could go without one
+        if sum(len(t) == 1 + len(suffix or "") for t in vocabulary if suffix and t.endswith(suffix)) >= 256:
+            self.ends[last] = True
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.encoder.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        """The ids of the words that aren't in the cache; those of short ones are kept there."""
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """The ids of words of letters."""
+        data = self._encode([" ".join(words)])[0]
+        stops = 4 * np.flatnonzero(self.ends[np.frombuffer(data, "<u4")]) + 4
+        if len(stops) != len(words) or stops[-1] != len(data):
+            return self._encode(words)
+        stops = stops.tolist()
+        return [data[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+
+    def _learn(self, words: set[str], new: set[str]) -> dict[str, bytes]:
+        """The ids of the new words, those that aren't in the cache, or of all words if it had to be emptied; those of short ones are kept there."""
         cache = self.cache
-        new = [w for w in words if w not in cache]
         if len(cache) + 2 * len(new) > CACHE:
             cache.clear()
-            new = list(words)
-        cores = {}
+            new = words
+        letters, others, found = {}, [], {}
         for w in new:
-            mark = w[-1] if len(w) > 1 and w[-1] in ".,;:" and w.isascii() and w[-2].isalpha() else ""
-            core = w[:-1] if mark else w
-            cores[w] = (core.lower() if core.isascii() else core, mark)
-        plain = [x for x in {x for pair in cores.values() for x in pair if x} if x not in cache]
-        found: dict[str, bytes] = {}
-        for at in range(0, len(plain), 4096):
-            part = plain[at : at + 4096]
-            found.update(zip(part, self._encode(part), strict=True))
-        ids = lambda x: found[x] if x in found else cache[x]
-        found |= {w: ids(core) + ids(mark) if mark else ids(core) for w, (core, mark) in cores.items()}
+            m = _WORD.fullmatch(w)
+            if m:
+                letters[w] = (m[1].lower(), m[2])
+            else:
+                others.append(w)
+        plain = [x for x in {core for core, _ in letters.values()} if x not in cache]
+        for encode, part in ((self._encode_words, plain), (self._encode, others + list(".,;:!?"))):
+            for at in range(0, len(part), 4096):
+                found.update(zip(part[at : at + 4096], encode(part[at : at + 4096]), strict=True))
+        for w, (core, mark) in letters.items():
+            ids = found[core] if core in found else cache[core]
+            found[w] = ids + found[mark] if mark else ids
         if len(found) < CACHE:
             cache.update((w, x) for w, x in found.items() if len(w) <= LONGEST)
         return found
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            if _ODD.search(text):
-                yield self._encode([text])[0]
-                continue
-            words = text.split()
-            try:
-                yield b"".join(map(self.cache.__getitem__, words))
-            except KeyError:
-                before, new = self.cache, self._learn(set(words))
-                yield b"".join([new[w] if w in new else before[w] for w in words])
+        at = 0
+        while at < len(texts):
+            start, size = at, 0
+            while at < len(texts) and (at == start or size + len(texts[at]) <= TOGETHER):
+                size += len(texts[at])
+                at += 1
+            split = [None if any(c in t for c in _ODD) else t.split() for t in texts[start:at]]
+            words = set().union(*(s for s in split if s))
+            before, new = self.cache, words.difference(self.cache)
+            new = self._learn(words, new) if new else {}
+            for text, part in zip(texts[start:at], split, strict=True):
+                if part is None:
+                    yield self._encode([text])[0]
+                    continue
+                try:
+                    yield b"".join(map(before.__getitem__, part))
+                except KeyError:
+                    yield b"".join([new[w] if w in new else before[w] for w in part])
+
+
+@lru_cache(maxsize=1)
+def word_tokens(path: str) -> WordTokens:
+    """One for each Python worker, so that its tasks share the cache."""
+    return WordTokens(path)
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, end_id: int = 0, path: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -92,7 +132,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limi
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, step, end = WordTokens(path), 4 * limit, np.array([end_id], "<u4").tobytes()
+        encode, step, end = word_tokens(path), 4 * limit, np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
