@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
@@ -49,14 +49,18 @@ def delete(store: DataFrame, keys: DataFrame) -> DataFrame:
     return store.join(keys.select(*KEY).distinct(), KEY, "left_anti")
 
 
+def held_in_dir(directory: str, recursive: bool = False, namespaces: tuple[str, ...] = ("image", "video")) -> Column:
+    return F.col("namespace").isin(*namespaces) & paths.in_dir("dir", directory, recursive)
+
+
 def delete_in_dir(store: DataFrame, directory: str, recursive: bool = False, namespaces: tuple[str, ...] = ("image", "video")) -> DataFrame:
     """Without the rows of a directory, by default its own only."""
-    return store.where(~(F.col("namespace").isin(*namespaces) & paths.in_dir("dir", directory, recursive)))
+    return store.where(~held_in_dir(directory, recursive, namespaces))
 
 
 def removed_in_dir(store: DataFrame, directory: str, recursive: bool = False, namespaces: tuple[str, ...] = ("image", "video")) -> DataFrame:
     """How many rows delete_in_dir() would remove: removed_images, removed_videos, removed."""
-    gone = F.col("namespace").isin(*namespaces) & paths.in_dir("dir", directory, recursive)
+    gone = held_in_dir(directory, recursive, namespaces)
     counts = [F.count_if(gone & (F.col("namespace") == ns)).alias(f"removed_{ns}s") for ns in ("image", "video")]
     return store.agg(*counts).withColumn("removed", F.col("removed_images") + F.col("removed_videos"))
 

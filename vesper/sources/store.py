@@ -1,17 +1,20 @@
-"""The keyed feature store: versions of a Parquet table, partitioned by namespace, and a pointer to the current one."""
+"""The keyed feature store: Parquet files in buckets by a hash of the path, and numbered manifests that name a version's files."""
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import freshness, merge
 from ..schemas import STORE
 
-POINTER = "current"
+MANIFESTS = "versions"
+ATTEMPTS = 5
 
 
 def location(kind: str = "cache", name: str = "store", base: str | None = None, app: str = "vesper") -> str:
@@ -23,58 +26,141 @@ def location(kind: str = "cache", name: str = "store", base: str | None = None,
     return os.path.join(os.environ.get("XDG_CACHE_HOME") or os.path.join(os.path.expanduser("~"), ".cache"), app, name)
 
 
+def bucket_of(n: int) -> Column:
+    return F.pmod(F.xxhash64("path"), F.lit(n)).cast("int")
+
+
 class Store:
-    """Readers see the version that the pointer names; a writer makes a new one beside it and then moves the pointer.
+    """Readers see the files that the manifest of the largest number names.
 
-    A version is never written to once it is current, so a failed or repeated job leaves the store as it was.
+    A write merges only the buckets that its keys fall in, into files of its own, and then renames a manifest to the next
+    number. A crash before that leaves the store as it was. A writer that finds the number taken merges anew with what
+    is there. (A rename onto a name that exists fails on HDFS; a local file system lets it through if both check in the
+    same moment.) Files that none of the last `keep` versions names are deleted by the next write, so that readers which
+    began before can finish; what a crashed writer left behind stays until drop().
     """
 
-    def __init__(self, spark: SparkSession, root: str, version: int = 1):
-        self.spark, self.root, self.version = spark, root.rstrip("/"), version
+    def __init__(self, spark: SparkSession, root: str, version: int = 1, buckets: int = 64, keep: int = 3):
+        self.spark, self.root, self.version, self.buckets, self.keep = spark, root.rstrip("/"), version, buckets, keep
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _current(self) -> str | None:
-        pointer = self._path(f"{self.root}/{POINTER}")
-        if not self._fs.exists(pointer):
-            return None
-        return self.spark.read.text(f"{self.root}/{POINTER}").first()["value"]
+    def _at(self, *names: str):
+        return self._path("/".join([self.root, *names]))
+
+    def _numbers(self) -> list[int]:
+        if not self._fs.exists(self._at(MANIFESTS)):
+            return []
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._at(MANIFESTS))]
+        return sorted(int(n) for n in names if n.isdigit())
+
+    def _manifest(self, number: int) -> dict:
+        source = self._fs.open(self._at(MANIFESTS, f"{number:012d}"))
+        try:
+            return json.loads(source.readLine())
+        finally:
+            source.close()
+
+    def _latest(self) -> tuple[int, dict]:
+        """Number and manifest: how many buckets, the folder that holds each (those with rows), and the folders made for it."""
+        numbers = self._numbers()
+        return (numbers[-1], self._manifest(numbers[-1])) if numbers else (0, {"buckets": self.buckets, "data": {}, "made": []})
+
+    def _folders(self, manifest: dict, buckets: set[str] | None = None) -> list[str]:
+        return sorted(f"{self.root}/{name}/bucket={b}" for b, name in manifest["data"].items() if buckets is None or b in buckets)
+
+    def _rows(self, manifest: dict, buckets: set[str] | None = None) -> DataFrame:
+        folders = self._folders(manifest, buckets)
+        rows = self.spark.read.schema(STORE).parquet(*folders) if folders else self.spark.createDataFrame([], STORE)
+        return merge.purge(rows, self.version)
+
+    def _write(self, rows: DataFrame, n: int, kind: str) -> tuple[str, set[str]]:
+        """Writes rows to a folder of their own: its name and the buckets that it holds."""
+        name = f"{kind}-{uuid.uuid4().hex}"
+        dealt = rows.select(*STORE.fieldNames(), bucket_of(n).alias("bucket")).hint("rebalance", F.col("bucket"))
+        dealt.sortWithinPartitions("bucket", "namespace", "path").write.partitionBy("bucket").parquet(f"{self.root}/{name}")
+        return name, {s.getPath().getName().partition("=")[2] for s in self._fs.listStatus(self._at(name)) if s.isDirectory()}
+
+    def _commit(self, number: int, manifest: dict) -> bool:
+        """Whether the manifest became that number; False if another writer was first."""
+        fresh, final = self._at(MANIFESTS, f".{uuid.uuid4().hex}"), self._at(MANIFESTS, f"{number:012d}")
+        out = self._fs.create(fresh, False)
+        out.writeBytes(json.dumps(manifest))
+        out.close()
+        if self._fs.exists(final) or not self._fs.rename(fresh, final):
+            self._fs.delete(fresh, False)
+            return False
+        self._retire()
+        return True
+
+    def _retire(self) -> None:
+        numbers = self._numbers()
+        manifests = {n: self._manifest(n) for n in numbers}
+        named = {n: {*m["data"].values(), *m["made"]} for n, m in manifests.items()}
+        live = set().union(*(named[n] for n in numbers[-self.keep :]))
+        for n in numbers[: -self.keep]:
+            for name in named[n] - live:
+                self._fs.delete(self._at(name), True)
+            self._fs.delete(self._at(MANIFESTS, f"{n:012d}"), False)
+
+    def _change(self, touched: Callable[[dict], set[str]], merged: Callable[[DataFrame], DataFrame], made: tuple[str, ...] = ()) -> None:
+        """Puts merged(rows) in place of the rows of the buckets that touched(manifest) gives."""
+        for _ in range(ATTEMPTS):
+            number, old = self._latest()
+            hit = touched(old)
+            if not hit:
+                return
+            name, left = self._write(merged(self._rows(old, hit)), old["buckets"], "data")
+            data = {b: d for b, d in old["data"].items() if b not in hit} | dict.fromkeys(left, name)
+            if self._commit(number + 1, {"buckets": old["buckets"], "data": data, "made": [name, *made]}):
+                return
+            self._fs.delete(self._at(name), True)
+        raise RuntimeError(f"the store was changed by others during each of {ATTEMPTS} attempts")
 
     def read(self) -> DataFrame:
         """All rows of the current payload version; a store that was never written is empty."""
-        name = self._current()
-        if name is None:
-            return self.spark.createDataFrame([], STORE)
-        return merge.purge(self.spark.read.schema(STORE).parquet(f"{self.root}/{name}"), self.version)
+        return self._rows(self._latest()[1])
 
     def paths(self) -> DataFrame:
         return self.read().select("namespace", "path")
 
     def replace(self, rows: DataFrame) -> None:
-        name = f"v-{uuid.uuid4().hex}"
-        rows.select(*STORE.fieldNames()).write.partitionBy("namespace").parquet(f"{self.root}/{name}")
-        fresh = f"{self.root}/.{POINTER}-{uuid.uuid4().hex}"
-        self.spark.createDataFrame([(name,)], "value string").coalesce(1).write.text(fresh)
-        old, pointer = self._current(), self._path(f"{self.root}/{POINTER}")
-        self._fs.delete(pointer, True)
-        self._fs.rename(self._path(fresh), pointer)
-        if old:
-            self._fs.delete(self._path(f"{self.root}/{old}"), True)
+        self._change(lambda old: {str(b) for b in range(old["buckets"])}, lambda _: rows)
 
     def upsert(self, changes: DataFrame, now: int) -> DataFrame:
-        """Merges changes; returns (path, message) of those that couldn't be."""
-        good, bad = merge.split_changes(changes)
-        self.replace(merge.upsert(self.read(), good, now))
+        """Merges changes; returns (path, message) of those that couldn't be.
+
+        Changes are written once beside the store, so that what makes them (an encoder, say) doesn't run again for the merge.
+        """
+        n = self._latest()[1]["buckets"]
+        staged, hit = self._write(changes, n, "changes")
+        good, bad = merge.split_changes(self.spark.read.schema(STORE).parquet(f"{self.root}/{staged}"))
+
+        def touched(old: dict) -> set[str]:
+            if old["buckets"] != n:
+                raise RuntimeError("the store was made anew with other buckets")
+            return hit
+
+        self._change(touched, lambda rows: merge.upsert(rows, good, now), (staged,))
         return bad
 
     def delete_in_dir(self, directory: str, recursive: bool = False) -> int:
-        removed = merge.removed_in_dir(self.read(), directory, recursive).first()["removed"]
-        if removed:
-            self.replace(merge.delete_in_dir(self.read(), directory, recursive))
+        removed = 0
+
+        def touched(old: dict) -> set[str]:
+            nonlocal removed
+            gone = self._rows(old).where(merge.held_in_dir(directory, recursive)).groupBy(bucket_of(old["buckets"]).alias("bucket")).count().collect()  # a row a bucket
+            removed = sum(g["count"] for g in gone)
+            return {str(g["bucket"]) for g in gone}
+
+        self._change(touched, lambda rows: merge.delete_in_dir(rows, directory, recursive))
         return removed
 
     def delete(self, keys: DataFrame) -> None:
-        self.replace(merge.delete(self.read(), keys))
+        def touched(old: dict) -> set[str]:
+            return {str(r["bucket"]) for r in keys.select(bucket_of(old["buckets"]).alias("bucket")).distinct().collect()} & set(old["data"])
+
+        self._change(touched, lambda rows: merge.delete(rows, keys))
 
     def lookup(self, listing: DataFrame, namespace: str) -> DataFrame:
         return freshness.lookup(listing, self.read(), namespace)
@@ -84,8 +170,8 @@ class Store:
 
     def files(self) -> DataFrame:
         """kind and length of the files of the current version, for footprint()."""
-        name = self._current()
-        if name is None:
+        folders = self._folders(self._latest()[1])
+        if not folders:
             return self.spark.createDataFrame([], "kind string, length long")
-        found = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{self.root}/{name}")
+        found = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folders)
         return found.select(F.lit("database").alias("kind"), "length")
