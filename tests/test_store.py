@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from vesper.operators import freshness, merge, prune, summary
 from vesper.operators.encode import HashEncoder, encode, runnable
+from vesper.plans.ranges import running_sum
 from vesper.schemas import LISTING, STORE
 from vesper.sources.listing import listing
 from vesper.sources.store import Store, location
@@ -47,6 +48,81 @@ def test_bad_changes_are_reported_and_others_written(spark, tmp_path):
     assert [b["path"] for b in bad] == ["/d/gone.jpg"] and list(stored(store)) == [("image", "/d/a.jpg")]
 
 
+def names_in(folder):
+    return {f.name for f in folder.iterdir() if not f.name.startswith(".")}
+
+
+def test_a_write_leaves_other_buckets_alone(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), buckets=8)
+    store.upsert(frame(spark, *[change(f"/d/{i}.jpg") for i in range(40)]), 1)
+    before = store._latest()[1]["data"]
+    store.upsert(frame(spark, change("/d/3.jpg", size=11)), 2)
+    after = store._latest()[1]["data"]
+    assert len(before) == 8 and set(after) == set(before) and sum(after[b] != before[b] for b in before) == 1
+    rows = stored(store)
+    assert len(rows) == 40 and rows[("image", "/d/3.jpg")]["updated_at"] == 2 and rows[("image", "/d/4.jpg")]["updated_at"] == 1
+    assert store.delete_in_dir("/none") == 0 and store._latest()[0] == 2
+
+
+def test_a_crash_before_the_manifest_leaves_the_store(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "s"))
+    store.upsert(frame(spark, change("/d/a.jpg")), 1)
+
+    def crash(number, manifest):
+        raise OSError("gone")
+
+    monkeypatch.setattr(store, "_commit", crash)
+    with pytest.raises(OSError):
+        store.upsert(frame(spark, change("/d/a.jpg", size=11), change("/d/b.jpg")), 2)
+    other = Store(spark, str(tmp_path / "s"))
+    assert {k: r["file_size"] for k, r in stored(other).items()} == {("image", "/d/a.jpg"): 10}
+    other.upsert(frame(spark, change("/d/b.jpg")), 3)
+    assert set(stored(other)) == {("image", "/d/a.jpg"), ("image", "/d/b.jpg")}
+
+
+def test_of_two_writers_neither_is_lost(spark, tmp_path):
+    first, second = (Store(spark, str(tmp_path / "s")) for _ in range(2))
+    commit = first._commit
+
+    def late(number, manifest):
+        first._commit = commit
+        second.upsert(frame(spark, change("/d/a.jpg", size=20)), 2)
+        return commit(number, manifest)
+
+    first._commit = late
+    first.upsert(frame(spark, change("/d/b.jpg")), 1)
+    assert set(stored(first)) == {("image", "/d/a.jpg"), ("image", "/d/b.jpg")} and first._latest()[0] == 2
+
+
+def test_readers_of_earlier_versions_finish_and_old_files_go(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), buckets=1, keep=2)
+    store.upsert(frame(spark, change("/d/a.jpg")), 1)
+    reader = store.read()
+    store.upsert(frame(spark, change("/d/b.jpg")), 2)
+    assert reader.count() == 1
+    for i in range(3):
+        store.upsert(frame(spark, change(f"/d/{i}.jpg")), 3 + i)
+    assert len(stored(store)) == 5 and names_in(tmp_path / "s" / "versions") == {f"{n:012d}" for n in (4, 5)}
+    assert len([n for n in names_in(tmp_path / "s") if n.startswith("data-")]) == 2
+
+
+def test_running_sum(spark):
+    values = [("a", 1, 5), ("a", 1, 5), (None, 2, 1), ("b", None, 2), *[("hot", i % 50, i) for i in range(200)]]
+    rows = spark.createDataFrame(values, "d string, p int, v long")
+    order = sorted(range(len(values)), key=lambda i: [(x is not None, x) for x in values[i][:2]])
+    prior, total = {}, 0
+    for i in order:
+        prior.setdefault(values[i][:2], total)
+        total += values[i][2]
+    for ranges in (1, 2, 16, 256):
+        found = running_sum(rows, ["d", "p"], "v", ranges=ranges).collect()
+        assert len(found) == len(values)
+        for key in prior:
+            assert min(r["_prior"] for r in found if (r["d"], r["p"]) == key) == prior[key]
+        assert sorted(r["n"] for r in running_sum(rows, ["d", "p"], into="n", ranges=ranges).collect()) == list(range(len(values)))
+    assert running_sum(rows.limit(0), ["d", "p"]).count() == 0
+
+
 def test_lookup_statuses(spark):
     store = frame(spark, change("/d/a.jpg", clip=[1.0]), change("/d/b.jpg"), change("/d/h.jpg"), change("/d/v.mp4", ns="video")).withColumn("content_hash", F.lit("same"))
     rows = [("/d/a.jpg", "/d", 10, 1, 0, None), ("/d/b.jpg", "/d", 12, 1, 1, "other"), ("/d/h.jpg", "/d", 10, 9, 2, "same"), ("/d/v.mp4", "/d", 10, 1, 3, None)]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.ranges import running_sum
+
 BINS = 4096
 
 
@@ -17,7 +19,7 @@ def victims(entries: DataFrame, excess: int, size: str = "thumb_bytes", bins: in
     """Entries to evict, oldest first (updated_at, path, namespace), until `excess` bytes are freed; none if it isn't positive.
 
     Entries without bytes stay. Time is cut into bins whose sums tell in which of them the excess is reached: all
-    entries of earlier bins go, and only that bin is ordered, so no task sorts the whole store.
+    entries of earlier bins go, and only that bin is ordered, in ranges, as a bulk import may give most of the store one time.
     """
     rows = entries.where(F.col(size) > 0)
     if excess <= 0:
@@ -30,8 +32,7 @@ def victims(entries: DataFrame, excess: int, size: str = "thumb_bytes", bins: in
     before = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     sums = binned.groupBy("_bin").agg(F.sum(size).alias("_s")).withColumn("_prior", F.coalesce(F.sum("_s").over(before), F.lit(0)))
     last = sums.where(F.col("_prior") < excess).agg(F.max(F.struct("_bin", "_prior")).alias("x")).first()["x"]
-    within = Window.orderBy("updated_at", "path", "namespace").rowsBetween(Window.unboundedPreceding, -1)
-    edge = binned.where(F.col("_bin") == last["_bin"]).withColumn("_prior", F.coalesce(F.sum(size).over(within), F.lit(0)) + last["_prior"]).where(F.col("_prior") < excess).drop("_prior")
+    edge = running_sum(binned.where(F.col("_bin") == last["_bin"]), ["updated_at", "path", "namespace"], size).where(F.col("_prior") + last["_prior"] < excess).drop("_prior")
     return binned.where(F.col("_bin") < last["_bin"]).unionByName(edge).drop("_bin")
 
 

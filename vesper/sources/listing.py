@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import IMAGE_EXTENSIONS, VIDEO_EXTENSIONS
 from ..functions import paths
+from ..plans.ranges import running_sum
 from ..schemas import LISTING
 
 
@@ -31,10 +32,8 @@ def listing(spark: SparkSession, root: str, images: bool = True, videos: bool =
 
 
 def with_ordinal(rows: DataFrame) -> DataFrame:
-    """Numbers rows by path from 0: directories are ranged first, then files within each, with the counts of earlier directories added."""
-    before = Window.orderBy("dir").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy("dir").count().select("dir", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-    return rows.join(counts, "dir").withColumn("ordinal", F.col("_before") + F.row_number().over(Window.partitionBy("dir").orderBy("path")) - 1).drop("_before")
+    """Numbers rows by directory and path from 0, in ranges, so that neither many directories nor a large one meet in one task."""
+    return running_sum(rows, ["dir", "path"], into="ordinal")
 
 
 def scan_report(rows: DataFrame, errors: DataFrame) -> tuple[DataFrame, DataFrame]:
