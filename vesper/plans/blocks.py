@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,12 +15,10 @@ BLOCK = 2048
 
 def matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Rows of an array column, padded with zeros, as doubles; and their lengths (null: 0)."""
-    rows = [np.asarray(v if v is not None else (), np.float64) for v in column.to_pylist()]
-    width = max(map(len, rows), default=0)
-    out = np.zeros((len(rows), width))
-    for i, v in enumerate(rows):
-        out[i, : len(v)] = v
-    return out, np.array([len(v) for v in rows])
+    length = pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype(np.int64)
+    out = np.zeros((len(length), length.max(initial=0)))
+    out[np.arange(out.shape[1]) < length[:, None]] = pc.list_flatten(column).to_numpy()
+    return out, length
 
 
 def products(v: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -28,9 +27,8 @@ def products(v: np.ndarray, length: np.ndarray) -> np.ndarray:
         clean = np.isfinite(v).all(axis=1)
         s = np.where(clean[:, None], v, 0) @ np.where(clean[:, None], v, 0).T
         for i in np.flatnonzero(~clean):  # zero times infinity would spoil padding
-            for j in range(len(v)):
-                n = min(length[i], length[j])
-                s[i, j] = s[j, i] = float((v[i, :n] * v[j, :n]).sum())
+            shared = np.arange(v.shape[1]) < np.minimum(length[i], length)[:, None]
+            s[i] = s[:, i] = np.where(shared, v[i] * v, 0).sum(axis=1)
     return s
 
 
