@@ -41,6 +41,17 @@ class HashEncoder:
         return out
 
 
+class ByteEncoder:
+    """A stand-in that SQL can state: how often each remainder of the bytes by `dim` occurs, divided by the length of that vector."""
+
+    def __init__(self, dim: int = 8):
+        self.dim = dim
+
+    def encode(self, contents: list[bytes]) -> list[list[float] | None]:
+        counts = [np.bincount(np.frombuffer(c, np.uint8) % self.dim, minlength=self.dim) if c else None for c in contents]
+        return [None if n is None else (n / np.sqrt((n * n).sum())).tolist() for n in counts]
+
+
 def encode(rows: DataFrame, make: Callable[[], Encoder], content: str = "content", batch: int = 64) -> DataFrame:
     """rows without `content`, with vector, outcome (processed or skipped) and message. An encoder error skips its batch's rows one by one."""
     names = [c for c in rows.columns if c != content]

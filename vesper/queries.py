@@ -11,8 +11,8 @@ from .functions import formats, paths, sampling, vectors
 from .media import SQL as MEDIA
 from .media import media
 from .operators import freshness, merge, prune, similarity, summary
-from .operators.encode import HashEncoder, encode, pooled, sample_points
-from .sources.listing import with_ordinal
+from .operators.encode import ByteEncoder, encode, pooled, sample_points
+from .sources.listing import scan_report, with_ordinal
 
 NOW = 1_700_100_000
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -474,12 +474,47 @@ def thumbnail_names(spark, sf_dir):
     return media(spark, sf_dir).select("path", paths.thumbnail_name("path").alias("name"))
 
 
-@query()
+_VIDEO_STAMPS = _STAMPS.replace("SELECT doc_id, length(text) / 10.0::DOUBLE AS d FROM documents", "SELECT path AS doc_id, file_size / 10.0::DOUBLE AS d FROM media WHERE namespace = 'video'")
+
+
+@query(
+    _VIDEO_STAMPS
+    + """, c AS (SELECT doc_id AS path, list_transform(string_split(doc_id || pos, ''), lambda x: ascii(x) % 8) AS b FROM (SELECT doc_id, unnest(range(len(kept))) AS pos FROM r)),
+h AS (SELECT path, list_transform([0, 1, 2, 3, 4, 5, 6, 7], lambda k: len(list_filter(b, lambda x: x = k))::DOUBLE) AS h FROM c),
+u AS (SELECT path, list_transform(h, lambda x: (x / sqrt($dot(h, h)))::FLOAT) AS u FROM h),
+e AS (SELECT path, unnest(u) AS v, generate_subscripts(u, 1) - 1 AS pos FROM u), m AS (SELECT path, pos, avg(v::DOUBLE) AS m FROM e GROUP BY ALL)
+SELECT path, pos::INT AS pos, round(m / sqrt(sum(m * m) OVER (PARTITION BY path)), 4) AS value FROM m"""
+)
 def encode_and_pool(spark, sf_dir):
-    """Sample points of each video, encoded by the stand-in encoder and pooled to a vector of unit length."""
+    """Sample points of each video, encoded by a stand-in encoder and pooled to a vector of unit length."""
     videos = media(spark, sf_dir).where("namespace = 'video'").select("path", (F.col("file_size") / 10.0).alias("duration"))
     samples = sample_points(videos).withColumn("content", F.concat("path", F.col("pos").cast("string")).cast("binary"))
-    return pooled(encode(samples, HashEncoder)).select("path", F.size("vector").alias("dims"), F.round(vectors.norm("vector"), 4).alias("norm"))
+    vector = pooled(encode(samples, ByteEncoder)).select("path", F.posexplode("vector").alias("pos", "value"))
+    return vector.withColumn("value", F.round(F.col("value").cast("double"), 4))
+
+
+@query(
+    """, c AS (SELECT CASE vec_id % 10 WHEN 2 THEN NULL WHEN 3 THEN '' ELSE path END AS path, CASE WHEN vec_id % 10 <> 4 THEN file_size END AS file_size FROM media),
+m AS (SELECT *, CASE WHEN path IS NULL OR path = '' THEN 'no path' WHEN file_size IS NULL THEN 'file can''t be read' END AS message FROM c)
+SELECT path, message FROM m"""
+)
+def split_changes(spark, sf_dir):
+    """A batch with bad elements: what is written (no message) and what isn't."""
+    k = F.col("vec_id") % 10
+    batch = media(spark, sf_dir).select(F.when(k == 3, "").when(k != 2, F.col("path")).alias("path"), F.when(k != 4, F.col("file_size")).alias("file_size"))
+    good, bad = merge.split_changes(batch)
+    return good.select("path", F.lit(None).cast("string").alias("message")).unionByName(bad)
+
+
+@query(""" SELECT path, ordinal, NULL::VARCHAR AS summary FROM media WHERE vec_id % 50 <> 7
+UNION ALL SELECT NULL, NULL, 'can''t read /lib/' || min(vec_id) || ' (' || count(*) || ' errors)' FROM media WHERE vec_id % 50 = 7""")
+def scan_with_errors(spark, sf_dir):
+    """A listing stands in spite of what couldn't be read, which is summed up beside it."""
+    m = media(spark, sf_dir).select("path", "ordinal", "vec_id")
+    bad = F.col("vec_id") % 50 == 7
+    rows, errors = scan_report(m.where(~bad).drop("vec_id"), m.where(bad).select("ordinal", F.concat(F.lit("can't read /lib/"), F.col("vec_id").cast("string")).alias("message")))
+    listed = rows.withColumn("summary", F.lit(None).cast("string"))
+    return listed.unionByName(errors.select("summary"), allowMissingColumns=True)
 
 
 @query(_SUMMARY.format(where="WHERE vec_id % 11 = 0 OR vec_id % 7 = 0 OR (clip IS NULL AND (namespace = 'image' OR audio IS NULL))"))
