@@ -319,3 +319,19 @@ def _sets(rows: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("family"), part.column("rep"), pa.array(sets, pa.binary())], ["family", "rep", "shingles"])
 
     return rows.select("family", "rep", "text").mapInArrow(run, "family long, rep long, shingles binary")
+
+
+SQL_OP5 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(list_zip(w[1:len(w) - 2], w[2:len(w) - 1], w[3:len(w)]), lambda z: z[1] || ' ' || z[2] || ' ' || z[3]) END)) AS s FROM w),
+c AS (SELECT min(doc_id) AS rep, s, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s),
+x AS (SELECT rep, n, unnest(s) AS g FROM c),
+p AS (SELECT a.rep AS l, b.rep AS r FROM x a JOIN x b ON a.g = b.g AND a.rep < b.rep AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+e AS (SELECT l, r FROM p UNION ALL SELECT r, l FROM p),
+reach(a, b) AS (SELECT rep, rep FROM c UNION SELECT reach.a, e.r FROM reach JOIN e ON reach.b = e.l),
+m AS (SELECT a AS rep, min(b) AS component_id FROM reach GROUP BY a)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(m.component_id, s.doc_id) AS component_id, coalesce(m.component_id, s.doc_id) = s.doc_id AS kept
+FROM s LEFT JOIN c ON s.s = c.s LEFT JOIN m ON m.rep = c.rep
+"""

@@ -70,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mix_sources": mixing.SQL_OP6, "op9_warc_roundtrip": warc.SQL_OP9, "op10_maxscore_topk": search.SQL_OP10}
+    return {"op5_minhash_neardup": neardup.SQL_OP5, "op6_mix_sources": mixing.SQL_OP6, "op9_warc_roundtrip": warc.SQL_OP9, "op10_maxscore_topk": search.SQL_OP10}
