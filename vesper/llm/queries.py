@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, language, mixing, neardup, packing, quality, search, secrets, substring, warc
-from .common import table
+from . import cover, html, language, middle, mixing, neardup, packing, quality, search, secrets, substring, trie, warc
+from .common import stash, table
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +54,22 @@ def op10_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover.deduplicate(table(spark, sf_dir, "documents"), with_kept=False)
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, convs = trie.lent(stash(trie.numbered(table(spark, sf_dir, "conversations"))))
+    nodes, _ = trie.trie(stash(rows), convs)
+    return nodes.select(F.col("conv").alias("conv_id"), "depth", F.col("parent").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = middle.restored(F.col("fim.output"), F.col("fim.form"))
+    return out.select("doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars", "fim.output_sha256", middle.hex_digest(text).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
@@ -66,8 +82,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": op8_secret_scan,
         "op9_warc_roundtrip": op9_warc_roundtrip,
         "op10_maxscore_topk": op10_maxscore_topk,
+        "op11_substring_dedup": op11_substring_dedup,
+        "op12_conversation_trie": op12_conversation_trie,
+        "op13_fill_in_middle": op13_fill_in_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_minhash_neardup": neardup.SQL_OP5, "op6_mix_sources": mixing.SQL_OP6, "op9_warc_roundtrip": warc.SQL_OP9, "op10_maxscore_topk": search.SQL_OP10}
+    return {"op5_minhash_neardup": neardup.SQL_OP5, "op6_mix_sources": mixing.SQL_OP6, "op9_warc_roundtrip": warc.SQL_OP9, "op10_maxscore_topk": search.SQL_OP10, "op11_substring_dedup": cover.SQL_OP11, "op12_conversation_trie": trie.SQL_OP12, "op13_fill_in_middle": middle.SQL_OP13}
