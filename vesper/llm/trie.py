@@ -259,7 +259,11 @@ def _bucketed(rows: DataFrame, local: int) -> DataFrame:
     sizes = rows.groupBy(*key).agg(F.min("cls").alias("b"), F.count("*").alias("m"), F.sum(F.col("len") - F.col("d")).alias("rest"), F.sum("n").alias("n_convs"))
     kind = F.when(F.col("m") == 1, "alone").when(F.col("rest") <= local, "local").otherwise("wide")
     sizes = sizes.select(*[F.col(k).alias(f"_{k}") for k in key], "b", kind.alias("kind"), "n_convs")
-    return stash(rows.join(sizes, F.col("up_d").eqNullSafe(F.col("_up_d")) & F.col("parent").eqNullSafe(F.col("_parent")) & F.col("turn_id").eqNullSafe(F.col("_turn_id"))).drop(*[f"_{k}" for k in key]))
+    return stash(rows.join(sizes, (F.col("up_d") == F.col("_up_d")) & (F.col("parent") == F.col("_parent")) & (F.col("turn_id") == F.col("_turn_id"))).drop(*[f"_{k}" for k in key]))
+
+
+def _kind(sequences: int, rest: int, local: int) -> str:
+    return "alone" if sequences == 1 else "local" if rest <= local else "wide"
 
 
 def trie(rows: DataFrame, convs: DataFrame, local: int = LOCAL) -> tuple[DataFrame, DataFrame]:
@@ -277,9 +281,9 @@ def trie(rows: DataFrame, convs: DataFrame, local: int = LOCAL) -> tuple[DataFra
     turns = dictionary(rows)
     chunks = _chunks(rows, turns)
     classes = _classes(chunks, convs)
-    zero = F.lit(0).cast("long")
-    null = F.lit(None).cast("long")
-    level = _bucketed(classes.withColumns({"done": zero, "turn_id": null, "own": zero, "up_d": null, "parent": null, "d": zero}), local)
+    root = classes.agg(F.min("cls").alias("b"), F.count("*").alias("m"), F.sum("len").alias("rest"), F.sum("n").alias("n_convs")).first()
+    whole = {"done": 0, "turn_id": None, "own": 0, "up_d": None, "parent": None, "d": 0, "b": root["b"], "n_convs": root["n_convs"]}
+    level = classes.withColumns({k: F.lit(v).cast("long") for k, v in whole.items()}).withColumn("kind", F.lit(_kind(root["m"], root["rest"] or 0, local)))
     rounds = []
     while True:
         single, small = level.where("kind = 'alone'"), level.where("kind = 'local'")
