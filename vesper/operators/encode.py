@@ -88,10 +88,10 @@ def sample_points(videos: DataFrame, duration: str = "duration", cfg: Sampling =
 
 def pooled(samples: DataFrame, key: str = "path", vector: str = "vector") -> DataFrame:
     """key, vector: the mean of a video's sample vectors, divided by its length; samples without vector are left out."""
-    from .similarity import mean_vector
+    from .similarity import mean_vectors
 
     usable = samples.where(F.col(vector).isNotNull())
-    return mean_vector(usable, key, vector).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"].cast("float")).alias(vector))
+    return mean_vectors(usable, key, vector).select(key, F.col(vector).cast("array<float>").alias(vector))
 
 
 def runnable(requested: tuple[str, ...], available: tuple[str, ...], n_files: int) -> tuple[tuple[str, ...], bool]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,10 +12,12 @@ from pyspark.sql import functions as F
 from ..config import Similarity
 from ..functions import paths
 from ..functions.vectors import dot, weighted_score
-from ..plans.blocks import BLOCK, matrix, products, similar_pairs
+from ..plans.blocks import BLOCK, Prune, similar_pairs
+from ..plans.matrices import matrix, products
+from ..plans.sums import vector_sums
 
 
-def image_pairs(rows: DataFrame, threshold: float, top: int | None = Similarity.max_image_pairs, vector: str = "clip", block: int = BLOCK) -> DataFrame:
+def image_pairs(rows: DataFrame, threshold: float, top: int | None = Similarity.max_image_pairs, vector: str = "clip", block: int = BLOCK, report: Callable[[int, int], None] | None = None) -> DataFrame:
     """Best pairs of images with a cosine of `threshold` or more (inclusive): left_path, right_path, similarity.
 
     rows: ordinal, path, vector (of unit length). Left is the row of smaller ordinal; ties go by left and right path. Null and
@@ -27,10 +31,10 @@ def image_pairs(rows: DataFrame, threshold: float, top: int | None = Similarity.
         s[(length[:, None] != length[None, :]) | ~np.isfinite(s)] = np.nan
         return s
 
-    return similar_pairs(usable, score, threshold, top, block)
+    return similar_pairs(usable, score, threshold, top, block, Prune(("v",), lambda b: b[0], report))
 
 
-def video_pairs(rows: DataFrame, threshold: float, cfg: Similarity = Similarity(), clip: str = "clip", audio: str = "audio", block: int = BLOCK) -> DataFrame:
+def video_pairs(rows: DataFrame, threshold: float, cfg: Similarity = Similarity(), clip: str = "clip", audio: str = "audio", block: int = BLOCK, report: Callable[[int, int], None] | None = None) -> DataFrame:
     """All pairs of videos with a weighted score of `threshold` or more: left_path, right_path, similarity.
 
     A modality counts if its vector has a component that isn't zero. Both modalities on both sides are weighted; else the one
@@ -47,7 +51,10 @@ def video_pairs(rows: DataFrame, threshold: float, cfg: Similarity = Similarity(
         (image, has_image), (sound, has_sound) = parts
         return np.where(has_image & has_sound, cfg.image_weight * image + cfg.audio_weight * sound, np.where(has_image, image, np.where(has_sound, sound, np.nan)))
 
-    return similar_pairs(usable, score, threshold, None, block)
+    def bound(b: list[np.ndarray]) -> np.ndarray:
+        return np.maximum(np.maximum(b[0], b[1]), cfg.image_weight * b[0] + cfg.audio_weight * b[1])
+
+    return similar_pairs(usable, score, threshold, None, block, Prune(("clip", "audio"), bound, report))
 
 
 def all_pairs(images: DataFrame, videos: DataFrame) -> DataFrame:
@@ -83,11 +90,21 @@ def focus_status(store: DataFrame, target_path: str, result: DataFrame, namespac
     return result.agg(F.count("*").alias("n_items")).withColumn("one", F.lit(1)).join(known, "one").select("n_items", (~F.col("k")).alias("nothing_indexed"), F.lit(had_errors).alias("had_errors"))
 
 
+def mean_vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:
+    """key, vector (array<double>): the element-wise mean of each key's vectors, divided by its length (L2) if that isn't zero.
+
+    A position's mean is over the vectors that have it; one that only nulls have is null. Null keys and keys without an element have no row.
+    """
+    sums = vector_sums(rows, key, vector).where(F.size("sums") > 0)
+    mean = F.zip_with("sums", "counts", lambda s, n: F.when(n > 0, s / n))
+    length = F.sqrt(F.aggregate(mean, F.lit(0.0), lambda a, m: a + F.coalesce(m * m, F.lit(0.0))))
+    scaled = sums.select("key", mean.alias("m"), length.alias("n"))
+    return scaled.select(F.col("key").alias(key), F.transform("m", lambda m: F.when(F.col("n") > 0, m / F.col("n")).otherwise(m)).alias(vector))
+
+
 def mean_vector(rows: DataFrame, key: str, vector: str) -> DataFrame:
-    """key, pos, value: the element-wise mean of each key's vectors, divided by its length (L2) if that isn't zero."""
-    mean = rows.select(key, F.posexplode(vector).alias("pos", "x")).groupBy(key, "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    length = mean.groupBy(key).agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("_n"))
-    return mean.join(length, key).select(key, "pos", F.when(F.col("_n") > 0, F.col("m") / F.col("_n")).otherwise(F.col("m")).alias("value"))
+    """mean_vectors() as key, pos, value."""
+    return mean_vectors(rows, key, vector).select(key, F.posexplode(vector).alias("pos", "value"))
 
 
 def cross_max(pairs: DataFrame, floor: float = Similarity.cross_floor) -> DataFrame:

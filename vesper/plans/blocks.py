@@ -3,48 +3,68 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 2048
+from .cells import cells, meeting, met
 
+BLOCK = 2048
+#: By how much a score may differ between groups, as products are summed in another order.
+ROUNDING = 1e-9
 
-def matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of an array column, padded with zeros, as doubles; and their lengths (null: 0)."""
-    length = pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype(np.int64)
-    out = np.zeros((len(length), length.max(initial=0)))
-    out[np.arange(out.shape[1]) < length[:, None]] = pc.list_flatten(column).to_numpy()
-    return out, length
 
+@dataclass(frozen=True)
+class Prune:
+    """How a score is bounded: the vector columns, and a function from the bounds of their dot products to that of the score."""
 
-def products(v: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Dot products of all rows, each over the shorter of the two."""
-    with np.errstate(all="ignore"):
-        clean = np.isfinite(v).all(axis=1)
-        s = np.where(clean[:, None], v, 0) @ np.where(clean[:, None], v, 0).T
-        for i in np.flatnonzero(~clean):  # zero times infinity would spoil padding
-            shared = np.arange(v.shape[1]) < np.minimum(length[i], length)[:, None]
-            s[i] = s[:, i] = np.where(shared, v[i] * v, 0).sum(axis=1)
-    return s
+    columns: tuple[str, ...]
+    bound: Callable[[list[np.ndarray]], np.ndarray]
+    report: Callable[[int, int], None] | None = None
 
 
-def similar_pairs(rows: DataFrame, score: Callable[[pa.Table], np.ndarray], threshold: float, top: int | None = None, block: int = BLOCK) -> DataFrame:
+def similar_pairs(rows: DataFrame, score: Callable[[pa.Table], np.ndarray], threshold: float, top: int | None = None, block: int = BLOCK, prune: Prune | None = None) -> DataFrame:
     """left_path, right_path, similarity of pairs that score `threshold` or more; left has the smaller ordinal.
 
     rows: ordinal, path and what score() needs to give the square of scores of a task's rows (NaN: no pair). Rows are
     dealt to ceil(n / block) blocks by a hash of the ordinal and each pair of blocks is one group, so that a row is
     sent once for each block. With `top`, a group sends its best `top` pairs by score, left path and right path, and
     the whole result is cut likewise.
+
+    With `prune` and more than one block, rows are dealt to cells round pivots instead, and cells whose bound is below the
+    threshold never meet; with `top`, the threshold is first raised to the score that the best `top` pairs within cells have. Both are exact.
+    Where that would send more rows than blocks do, as of vectors in all directions, blocks are used. prune.report gets the pairs of units and how many were skipped.
     """
-    nb = max(1, -(-rows.count() // block))
+    n = rows.count()
+    nb = max(1, -(-n // block))
+    if prune and nb > 1:
+        found = cells(rows, list(prune.columns), nb)
+        least = threshold
+        if top:
+            own = meeting(found, prune.bound, threshold, block)
+            own = replace(own, meets=own.meets & np.eye(len(own.meets), dtype=bool))
+            best = [r[0] for r in _searched(met(found, own), score, threshold, top).select("similarity").collect()]  # at most `top`
+            least = max(threshold, min(best) - ROUNDING) if len(best) == top else threshold
+        plan = meeting(found, prune.bound, least, block)
+        if prune.report:
+            prune.report(plan.pairs, plan.skipped)
+        if not plan.meets.any():
+            return _searched(_blocks(rows, 1).limit(0), score, threshold, top)
+        if plan.copies <= n * nb:
+            return _searched(met(found, plan), score, least, top)
+    return _searched(_blocks(rows, nb), score, threshold, top)
+
+
+def _blocks(rows: DataFrame, nb: int) -> DataFrame:
     mine = F.pmod(F.xxhash64("ordinal"), F.lit(nb)).cast("int")
     dealt = rows.withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
-    dealt = dealt.withColumn("_lo", F.least("_mine", "_other")).withColumn("_hi", F.greatest("_mine", "_other")).drop("_other")
+    return dealt.withColumn("_lo", F.least("_mine", "_other")).withColumn("_hi", F.greatest("_mine", "_other")).drop("_other")
+
 
+def _searched(dealt: DataFrame, score: Callable[[pa.Table], np.ndarray], threshold: float, top: int | None) -> DataFrame:
     def search(t: pa.Table) -> pa.Table:
         own, ordinal, path = t["_mine"].to_numpy(), t["ordinal"].to_numpy(), t["path"].to_pylist()
         s = score(t)

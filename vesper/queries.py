@@ -13,6 +13,7 @@ from .media import media
 from .operators import freshness, merge, prune, similarity, summary
 from .operators.encode import ByteEncoder, encode, pooled, sample_points
 from .sources.listing import scan_report, with_ordinal
+from .sources.walk import by_table, walk
 
 NOW = 1_700_100_000
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,7 +26,7 @@ def query(sql: str | None = None):
     def add(f):
         _Q[f.__name__] = f
         if sql is not None:
-            _SQL[f.__name__] = _dots("WITH " + MEDIA + sql)
+            _SQL[f.__name__] = _dots("WITH RECURSIVE " + MEDIA + sql)
         return f
 
     return add
@@ -72,6 +73,25 @@ def image_pairs_guarded(spark, sf_dir):
     return _round(similarity.image_pairs(m, 0.25), "similarity")
 
 
+_NEAR = """, v AS (SELECT vec_id, printf('/img/%06d.jpg', vec_id) AS path, list_transform(embedding[1:8], lambda x, i: (x::DOUBLE + CASE WHEN vec_id % 8 = i - 1 THEN 4 ELSE 0 END)::FLOAT) AS v FROM embeddings)"""
+
+
+def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight components of each vector, moved along one of eight axes, so that vectors lie in cones."""
+    axis = F.transform(F.slice("embedding", 1, 8), lambda x, i: (x + F.when(i == F.col("vec_id") % 8, 4.0).otherwise(0.0)).cast("float"))
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("ordinal"), F.format_string("/img/%06d.jpg", "vec_id").alias("path"), axis.alias("clip"))
+
+
+@query(
+    _NEAR
+    + """, p AS (SELECT a.path AS left_path, b.path AS right_path, $dot(a.v, b.v) AS s FROM v a JOIN v b ON a.vec_id < b.vec_id)
+SELECT left_path, right_path, round(s, 5) AS similarity FROM p WHERE s >= 12 ORDER BY s DESC, left_path, right_path LIMIT 50"""
+)
+def image_pairs_by_cells(spark, sf_dir):
+    """The best pairs of vectors in cones: cells that are too far apart never meet."""
+    return similarity.image_pairs(_clustered(spark, sf_dir), 12.0, block=64).withColumn("similarity", F.round("similarity", 5))
+
+
 _VIDEO = """, w AS (SELECT ordinal, path, clip, audio FROM media WHERE namespace = 'video'),
 vp AS (SELECT a.path AS left_path, b.path AS right_path, CASE
     WHEN a.clip IS NOT NULL AND b.clip IS NOT NULL AND a.audio IS NOT NULL AND b.audio IS NOT NULL THEN 0.6::DOUBLE * $dot(a.clip, b.clip) + 0.4::DOUBLE * $dot(a.audio, b.audio)
@@ -517,6 +537,49 @@ def scan_with_errors(spark, sf_dir):
     return listed.unionByName(errors.select("summary"), allowMissingColumns=True)
 
 
+_TREE = """, f AS (SELECT '/lib/d' || label || CASE WHEN vec_id % 4 > 0 THEN '/e' || vec_id % 3 ELSE '' END || CASE WHEN vec_id % 4 > 1 THEN '/f' || vec_id % 2 ELSE '' END || CASE WHEN vec_id % 4 > 2 THEN '/g' ELSE '' END AS dir, vec_id, file_size, namespace,
+  split_part(path, '/', -1) AS name FROM media),
+s AS (SELECT DISTINCT dir AS d FROM f), ds AS (SELECT d FROM s UNION SELECT array_to_string(string_split(d, '/')[1:n], '/') FROM s, (SELECT unnest([2, 3, 4, 5]) AS n) WHERE n <= len(string_split(d, '/'))),
+t AS (SELECT d AS dir, regexp_matches(d, '^/lib/d[37]/e2$') AS bad FROM ds),
+w AS (SELECT '/lib' AS dir, 0 AS depth, false AS bad UNION ALL
+  SELECT t.dir, w.depth + 1, t.bad FROM w JOIN t ON starts_with(t.dir, w.dir || '/') AND NOT contains(substr(t.dir, len(w.dir) + 2), '/') WHERE NOT w.bad AND w.depth < 3)"""
+
+
+def _tree(spark, sf_dir):
+    """Entries of directories, up to four below /lib, made of the media; those named e2 in d3 and d7 can't be read."""
+    i = F.col("vec_id")
+    where = F.concat(F.lit("/lib/d"), F.col("label").cast("string"), F.when(i % 4 > 0, F.concat(F.lit("/e"), (i % 3).cast("string"))).otherwise(""), F.when(i % 4 > 1, F.concat(F.lit("/f"), (i % 2).cast("string"))).otherwise(""), F.when(i % 4 > 2, "/g").otherwise(""))
+    files = media(spark, sf_dir).select(where.alias("dir"), paths.basename("path").alias("name"), F.lit(False).alias("is_dir"), "file_size", F.col("updated_at").alias("mtime"))
+    parts = F.split("dir", "/")
+    above = files.select("dir").distinct().select(F.explode(F.transform(F.sequence(F.lit(2), F.size(parts) - 1), lambda n: F.struct(F.array_join(F.slice(parts, F.lit(1), n), "/").alias("dir"), F.get(parts, n).alias("name")))).alias("e")).select("e.*").distinct()
+    entries = files.unionByName(above.withColumn("is_dir", F.lit(True)), allowMissingColumns=True)
+    bad = F.col("dir").rlike("^/lib/d[37]/e2$")
+    denied = above.select(F.concat("dir", F.lit("/"), "name").alias("dir")).where(bad).withColumn("message", F.lit("denied"))
+    return entries.where(~bad).withColumn("message", F.lit(None).cast("string")).unionByName(denied, allowMissingColumns=True)
+
+
+def _walked(spark, sf_dir):
+    return walk(spark, ["/lib"], by_table(_tree(spark, sf_dir)), depth=3)
+
+
+@query(
+    _TREE
+    + """ SELECT f.dir || '/' || name AS path, file_size, row_number() OVER (ORDER BY f.dir, f.dir || '/' || name) - 1 AS ordinal, NULL::VARCHAR AS message FROM f JOIN w USING (dir) WHERE NOT bad AND regexp_matches(name, '\\.(png|jpg|jpeg|webp|gif|bmp|mp4)$')
+UNION ALL SELECT dir, NULL, row_number() OVER (ORDER BY dir) - 1, 'denied' FROM w WHERE bad"""
+)
+def walk_by_levels(spark, sf_dir):
+    """A walk of three levels: its files, and the directories that couldn't be read."""
+    found = _walked(spark, sf_dir)
+    return found.rows.select("path", "file_size", "ordinal", F.lit(None).cast("string").alias("message")).unionByName(found.errors.select("path", F.lit(None).cast("long").alias("file_size"), "ordinal", "message"))
+
+
+@query(_TREE + " SELECT count(*) AS n_errors, CASE WHEN count(*) > 1 THEN min(dir) || ': denied (' || count(*) || ' errors)' ELSE min(dir) || ': denied' END AS summary FROM w WHERE bad")
+def walk_error_report(spark, sf_dir):
+    """What the scan itself couldn't read, in one row."""
+    errors = _walked(spark, sf_dir).errors
+    return scan_report(errors, errors.select("ordinal", F.concat("path", F.lit(": "), "message").alias("message")))[1]
+
+
 @query(_SUMMARY.format(where="WHERE vec_id % 11 = 0 OR vec_id % 7 = 0 OR (clip IS NULL AND (namespace = 'image' OR audio IS NULL))"))
 def pending_by_dir(spark, sf_dir):
     """What an incremental re-index would encode, by directory."""

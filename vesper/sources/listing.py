@@ -9,12 +9,14 @@ from ..config import IMAGE_EXTENSIONS, VIDEO_EXTENSIONS
 from ..functions import paths
 from ..plans.ranges import running_sum
 from ..schemas import LISTING
+from .walk import scan
 
 
 def listing(spark: SparkSession, root: str, images: bool = True, videos: bool = False, depth: int | None = None) -> DataFrame:
     """path, dir, file_size, mtime, ordinal of the media below root, at most `depth` directories down (0: root's own).
 
-    A missing root gives no rows. Only metadata is read: `content` is pruned from the scan.
+    A missing root gives no rows. Only metadata is read: `content` is pruned from the scan. With a depth, a local tree is walked by
+    levels (sources.walk), so that what lies deeper is never listed; on other file systems it is listed and left out.
     """
     wanted = (IMAGE_EXTENSIONS if images else ()) + (VIDEO_EXTENSIONS if videos else ())
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(root)
@@ -22,6 +24,8 @@ def listing(spark: SparkSession, root: str, images: bool = True, videos: bool =
     if not fs.exists(jvm_path) or not wanted:
         return spark.createDataFrame([], LISTING)
     base = fs.makeQualified(jvm_path).toUri().getPath()
+    if depth is not None and fs.getScheme() == "file":
+        return scan(spark, base, images, videos, depth).rows
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(wanted) + "}").load(root)
     path = F.regexp_replace("path", r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?(?=/)", "")
     rows = files.select(path.alias("path"), F.col("length").alias("file_size"), F.unix_seconds("modificationTime").alias("mtime"))
