@@ -6,19 +6,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def lookup(listing: DataFrame, store: DataFrame, namespace: str) -> DataFrame:
-    """The listing with status (hit, invalidated, miss) and, for hits, thumbnail_path and the vectors.
+def status(hashed: bool) -> Column:
+    """hit, invalidated or miss of a listed file joined with what is stored (columns with an underscore, _stored null for none).
 
-    Size and modification time decide. Where they differ and both sides have a content_hash, equal hashes count
-    as fresh. A file that isn't listed can't hit. The order of the listing is in its ordinal.
+    Size and modification time decide. Where they differ and both sides have a content_hash, equal hashes count as fresh.
     """
-    kept = store.where(F.col("namespace") == namespace).select("path", *[F.col(c).alias(f"_{c}") for c in ("file_size", "mtime", "content_hash", "thumbnail_path", "clip_vector", "audio_vector")], F.lit(True).alias("_stored"))
-    met = listing.join(kept, "path", "left")
     same = (F.col("file_size") == F.col("_file_size")) & (F.col("mtime") == F.col("_mtime"))
-    if "content_hash" in listing.columns:
+    if hashed:
         same = same | F.coalesce(F.col("content_hash") == F.col("_content_hash"), F.lit(False))
-    status = F.when(F.col("_stored").isNull(), "miss").when(F.coalesce(same, F.lit(False)), "hit").otherwise("invalidated")
-    met = met.withColumn("status", status)
+    return F.when(F.col("_stored").isNull(), "miss").when(F.coalesce(same, F.lit(False)), "hit").otherwise("invalidated")
+
+
+def lookup(listing: DataFrame, store: DataFrame, namespace: str) -> DataFrame:
+    """The listing with status() and, for hits, thumbnail_path and the vectors.
+
+    A file that isn't listed can't hit. The order of the listing is in its ordinal.
+    """
+    kept = store.where(F.col("namespace") == namespace).select("path", *[F.col(c).alias(f"_{c}") for c in ("file_size", "mtime", "content_hash", "thumbnail_path", "clip_vector", "audio_vector")], F.lit(True).alias("_stored"))
+    met = listing.join(kept, "path", "left").withColumn("status", status("content_hash" in listing.columns))
     hit: Column = F.col("status") == "hit"
     return met.select(*listing.columns, "status", *[F.when(hit, F.col(f"_{c}")).alias(c) for c in ("thumbnail_path", "clip_vector", "audio_vector")])
 
