@@ -1,0 +1,90 @@
+import os
+import random
+
+from pyspark.sql import functions as F
+from test_store import change, frame, stored
+
+from vesper.operators import prune
+from vesper.sources.remove import remove, unlink
+from vesper.sources.store import Store
+
+
+def plain(entries, thumbs, stuck, before, budget):
+    """One file after another: outcomes and entries that leave."""
+    out, gone, now = [], [], before
+    if before <= budget:
+        return out, gone, now
+    named = {e[3] for e in entries}
+    for path in set(thumbs) - named:
+        freed = 0 if path in stuck else thumbs[path]
+        out.append(("orphan", path, freed))
+        now -= freed
+    left = {p: n for p, n in thumbs.items() if p in named}
+    for ns, path, at, file in sorted((e for e in entries if e[3]), key=lambda e: (e[2], e[1], e[0])):
+        if now <= budget:
+            break
+        if thumbs.get(file, 0) == 0:
+            continue
+        freed = 0 if file in stuck else left.pop(file, 0)
+        out.append(("thumbnail", file, freed))
+        gone.append((ns, path))
+        now -= freed
+    return out, gone, now
+
+
+def test_the_same_entries_go_as_one_by_one(spark):
+    rng = random.Random(4)
+    entries = [(rng.choice(["image", "video"]), f"p{i}", rng.randrange(6), f"t{i}" if i % 7 else None) for i in range(80)]
+    thumbs = {f"t{i}": rng.randrange(0, 50) for i in range(100) if i % 9}
+    stuck = {p for p in thumbs if rng.random() < 0.4}
+    total = 100 + sum(thumbs.values())
+    e = spark.createDataFrame(entries, "namespace string, path string, updated_at long, thumbnail_path string")
+    t = spark.createDataFrame(list(thumbs.items()), "path string, length long")
+    bad = F.col("path").isin(*stuck)
+    for budget in (total, total - 900, 0):
+        forgotten, sizes = [], iter([total, 77])
+        result = prune.enforce(e, t, lambda f: f.join(t, "path").select("path", F.when(bad, 0).otherwise(F.col("length")).alias("bytes"), F.when(bad, "denied").alias("message")), budget, lambda sizes=sizes: next(sizes), lambda gone, forgotten=forgotten: forgotten.extend(tuple(r) for r in gone.collect()))
+        out, gone, _ = plain(entries, thumbs, stuck, total, budget)
+        assert sorted((r["kind"], r["path"], r["bytes"]) for r in result.outcomes.collect()) == sorted(out)
+        assert sorted(tuple(r) for r in result.entries.collect()) == sorted(gone) == sorted(forgotten)
+        r = result.report.first()
+        assert r["removed_entries"] == len(gone) and r["failed"] == sum(p in stuck for _, p, _ in out) and r["bytes_after"] == 77 and r["target_reached"] == (budget >= 77)
+
+
+def test_two_entries_with_one_file(spark):
+    e = spark.createDataFrame([("image", "b", 1, "t"), ("video", "a", 1, "t"), ("image", "c", 2, "u")], "namespace string, path string, updated_at long, thumbnail_path string")
+    t = spark.createDataFrame([("t", 10), ("u", 10)], "path string, length long")
+    result = prune.enforce(e, t, lambda f: f.join(t, "path").select("path", F.col("length").alias("bytes"), F.lit(None).cast("string").alias("message")), 5, lambda: 20)
+    assert result.report.first()["removed_thumbnail_bytes"] == 20 and result.entries.count() == 3
+
+
+def test_files_are_deleted(spark, tmp_path):
+    store, thumbs = Store(spark, str(tmp_path / "s"), buckets=2), tmp_path / "thumbs"
+    thumbs.mkdir()
+    for name in ("old", "stuck", "new", "loose"):
+        (thumbs / name).write_bytes(b"x" * 1000)
+    for k, name in enumerate(("old", "stuck", "new")):
+        store.upsert(frame(spark, change(f"/d/{name}.jpg", thumb=str(thumbs / name))), 10 + k)
+    store.upsert(frame(spark, change("/d/bare.jpg")), 1)
+
+    def careful(path):
+        if path.endswith("stuck"):
+            raise PermissionError(13, "denied")
+        return unlink(path)
+
+    total = store.prune(str(thumbs), 1 << 40).report.first()
+    assert total["target_reached"] and total["removed_entries"] == 0 and len(os.listdir(thumbs)) == 4
+    result = store.prune(str(thumbs), total["bytes_before"] - 2500, lambda files: remove(files, careful))
+    assert sorted(os.listdir(thumbs)) == ["stuck"] and {p for _, p in stored(store)} == {"/d/bare.jpg"}
+    r = result.report.first()
+    assert (r["removed_entries"], r["removed_thumbnail_bytes"], r["removed_orphan_bytes"], r["failed"]) == (3, 2000, 1000, 1)
+    assert r["bytes_after"] < r["bytes_before"] - 2500 and r["target_reached"] and {x["message"] for x in result.outcomes.collect()} == {None, "denied"}
+    unreachable = store.prune(str(thumbs), 0, lambda files: remove(files, careful)).report.first()
+    assert not unreachable["target_reached"] and unreachable["unreclaimable_bytes"] == unreachable["bytes_after"] > 0 and unreachable["removed_entries"] == 0 and len(stored(store)) == 1
+
+
+def test_what_is_gone_frees_nothing(spark, tmp_path):
+    (tmp_path / "a b%20c").write_bytes(b"12345")
+    rows = spark.createDataFrame([(str(tmp_path / "a b%20c"),), (str(tmp_path / "gone"),), (str(tmp_path),)], "path string")
+    out = {os.path.basename(r["path"]): (r["bytes"], r["message"] is None) for r in remove(rows).collect()}
+    assert out["a b%20c"] == (5, True) and out["gone"] == (0, True) and out[tmp_path.name] == (0, False)

@@ -307,6 +307,41 @@ def prune_report(spark, sf_dir):
     return prune.prune(entries, _thumbs(m), 5000, total * 60 // 100)[2]
 
 
+_ENFORCED = """, k AS (SELECT *, vec_id % 5 = 1 AS stuck, sum(CASE WHEN vec_id % 11 = 0 AND vec_id % 5 <> 1 THEN thumb_bytes ELSE 0 END) OVER () AS loose, 5000 + sum(thumb_bytes) OVER () AS before FROM media WHERE thumb_bytes > 0),
+e AS (SELECT *, before * 60 // 100 AS budget, coalesce(sum(CASE WHEN stuck THEN 0 ELSE thumb_bytes END) OVER (ORDER BY updated_at, path, namespace ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior FROM k WHERE vec_id % 11 <> 0),
+v AS (SELECT * FROM e WHERE prior < before - loose - budget)"""
+
+
+def _enforced(spark, sf_dir) -> prune.Pruned:
+    """Pruned to 60 %, where every fifth file can't be deleted."""
+    m = media(spark, sf_dir)
+    total = 5000 + (m.agg(F.sum("thumb_bytes")).first()[0] or 0)
+    thumbs = _thumbs(m)
+    entries = m.where("vec_id % 11 <> 0").withColumn("thumbnail_path", F.when(F.col("thumb_bytes") > 0, F.concat(F.lit("/thumbs/"), F.col("vec_id").cast("string"), F.lit(".jpg"))))
+    stuck = F.col("vec_id") % 5 == 1
+    remover = lambda files: files.join(thumbs, "path").select("path", F.when(stuck, 0).otherwise(F.col("length")).cast("long").alias("bytes"), F.when(stuck, "denied").alias("message"))
+    return prune.enforce(entries, thumbs.select("path", "length"), remover, total * 60 // 100, lambda: total)
+
+
+@query(
+    _ENFORCED
+    + """ SELECT 'thumbnail' AS kind, '/thumbs/' || vec_id || '.jpg' AS path, CASE WHEN stuck THEN 0 ELSE thumb_bytes END AS bytes, CASE WHEN stuck THEN 'denied' END AS message FROM v
+UNION ALL SELECT 'orphan', '/thumbs/' || vec_id || '.jpg', CASE WHEN stuck THEN 0 ELSE thumb_bytes END, CASE WHEN stuck THEN 'denied' END FROM k WHERE vec_id % 11 = 0"""
+)
+def prune_outcomes(spark, sf_dir):
+    """What came of each file that was to be deleted, and thereby which entries had to go."""
+    return _enforced(spark, sf_dir).outcomes
+
+
+@query(
+    _ENFORCED
+    + """ SELECT (SELECT count(*) FROM v) AS removed_entries, (SELECT coalesce(sum(thumb_bytes) FILTER (WHERE NOT stuck), 0) FROM v)::BIGINT AS removed_thumbnail_bytes, (SELECT any_value(loose) FROM k)::BIGINT AS removed_orphan_bytes,
+  ((SELECT count(*) FILTER (WHERE stuck) FROM v) + (SELECT count(*) FILTER (WHERE stuck AND vec_id % 11 = 0) FROM k))::BIGINT AS failed"""
+)
+def prune_enforced_report(spark, sf_dir):
+    return _enforced(spark, sf_dir).report.select("removed_entries", "removed_thumbnail_bytes", "removed_orphan_bytes", "failed")
+
+
 @query(" SELECT sum(CASE WHEN namespace = 'image' THEN file_size ELSE 0 END)::BIGINT AS database_bytes, sum(CASE WHEN vec_id % 8 = 3 THEN file_size ELSE 0 END)::BIGINT AS sidecar_bytes, sum(CASE WHEN vec_id % 8 = 7 THEN file_size ELSE 0 END)::BIGINT AS thumbnail_bytes, sum(file_size)::BIGINT AS total_bytes FROM media")
 def footprint(spark, sf_dir):
     kind = F.when(F.col("namespace") == "image", "database").when(F.col("vec_id") % 8 == 3, "sidecar").otherwise("thumbnail")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import freshness, merge
+from ..operators import freshness, merge, prune
 from ..plans.tables import written
 from ..schemas import STORE
 from .remove import remove
@@ -340,6 +340,22 @@ class Store:
             every = every.unionByName(part)
         return every
 
+    def prune(self, thumbnails: str, max_bytes: int, remover: Callable[[DataFrame], DataFrame] = remove) -> prune.Pruned:
+        """prune.enforce() on this store and a folder of thumbnail files; sizes are those of the current version's files and of the folder's."""
+
+        def files() -> DataFrame:
+            at = self._path(thumbnails)
+            if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
+                return self.spark.createDataFrame([], "path string, length long")
+            found = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(thumbnails)
+            return found.select(F.regexp_replace("path", "^file:(//)?(?=/)", "").alias("path"), "length")
+
+        def measure() -> int:
+            sizes = self.files().unionByName(files().select(F.lit("thumbnail").alias("kind"), "length"))
+            return prune.footprint(sizes).first()["total_bytes"]
+
+        return prune.enforce(self.read(), files(), remover, max_bytes, measure, self.delete)
+
     def drop(self) -> None:
         self._fs.delete(self._path(self.root), True)
 
