@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import IMAGE_EXTENSIONS, VIDEO_EXTENSIONS
+from . import blake3
 from .vectors import col
 
 
@@ -63,3 +65,21 @@ def name_matches(path: str | Column, query: str) -> Column:
 def thumbnail_name(path: str | Column) -> Column:
     """A name for a path's thumbnail: 16 hex digits of its SHA-256."""
     return F.concat(F.substring(F.sha2(col(path).cast("binary"), 256), 1, 16), F.lit(".jpg"))
+
+
+def blake3_hex(text: str | Column) -> Column:
+    """Lowercase hex of the BLAKE3 hash of a text in UTF-8; null for null. Many short texts are hashed side by side."""
+
+    @F.pandas_udf("string")
+    def hashed(text: pd.Series) -> pd.Series:
+        known = text.notna()
+        out = pd.Series([None] * len(text), dtype=object)
+        out[known.to_numpy()] = blake3.digests([t.encode() for t in text[known]])
+        return out
+
+    return hashed(col(text))
+
+
+def blake3_thumbnail_name(path: str | Column) -> Column:
+    """As thumbnail_name(), of the BLAKE3 hash: the names that caches made by other programs of this kind have."""
+    return F.concat(F.substring(blake3_hex(path), 1, 16), F.lit(".jpg"))

@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import formats, paths, sampling, vectors
+from .functions import formats, paths, pixels, sampling, vectors
 from .media import SQL as MEDIA
 from .media import media
 from .operators import freshness, merge, prune, similarity, summary
 from .operators.encode import ByteEncoder, encode, pooled, sample_points
+from .operators.videos import Modality
+from .operators.videos import index_videos as flow
+from .plans.tables import new_folder
 from .sources.listing import scan_report, with_ordinal
+from .sources.store import Store
 from .sources.walk import by_table, walk
 
 NOW = 1_700_100_000
@@ -529,6 +533,29 @@ def thumbnail_names(spark, sf_dir):
     return media(spark, sf_dir).select("path", paths.thumbnail_name("path").alias("name"))
 
 
+@query()
+def thumbnail_names_blake3(spark, sf_dir):
+    """Names by the BLAKE3 hash of the path."""
+    return media(spark, sf_dir).select("path", paths.blake3_thumbnail_name("path").alias("name"))
+
+
+_WEIGHTS = """(SELECT o, i, w / sum(w) OVER (PARTITION BY o) AS w FROM (SELECT o, i, greatest(0, 1 - abs((i - ((o + 0.5::DOUBLE) * {n} / {to} - 0.5)) / greatest(1.0::DOUBLE, {n}.0::DOUBLE / {to}))) AS w FROM range({to}) a(o), range({n}) b(i)) WHERE w > 0)"""
+
+
+@query(
+    f""", wv AS {_WEIGHTS.format(n=4, to=2)}, wh AS {_WEIGHTS.format(n=4, to=8)}, k AS (SELECT unnest(range(48)) AS k), px AS (SELECT vec_id, k // 12 AS y, k // 3 % 4 AS x, k % 3 AS c, floor((embedding[k + 1]::DOUBLE + 1) * 127.5) AS p FROM embeddings, k),
+v AS (SELECT vec_id, o AS y, x, c, sum(p * w) AS p FROM px JOIN wv ON y = i GROUP BY ALL), h AS (SELECT vec_id, y, o AS x, c, sum(p * w) AS p FROM v JOIN wh ON x = i GROUP BY ALL)
+SELECT vec_id, (c * 16 + y * 8 + x)::INT AS pos, round((p / 255 - [0.48145466, 0.4578275, 0.40821073][c + 1]::DOUBLE) / [0.26862954, 0.26130258, 0.27577711][c + 1]::DOUBLE, 4) AS value FROM h"""
+)
+def pixel_tensors(spark, sf_dir):
+    """Images of 4 by 4 pixels made of the first 48 components, as encoder input of 8 by 2."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    text = F.transform(F.slice("embedding", 1, 48), lambda x: F.lpad(F.hex(F.floor((x.cast("double") + 1) * 127.5).cast("long")), 2, "0"))
+    images = e.select("vec_id", F.lit(4).alias("width"), F.lit(4).alias("height"), F.unhex(F.array_join(text, "")).alias("pixels"))
+    out = pixels.tensors(images, 8, 2, rounded=False).select("vec_id", F.posexplode("tensor").alias("pos", "value"))
+    return out.withColumn("value", F.round(F.col("value").cast("double"), 4))
+
+
 _VIDEO_STAMPS = _STAMPS.replace("SELECT doc_id, length(text) / 10.0::DOUBLE AS d FROM documents", "SELECT path AS doc_id, file_size / 10.0::DOUBLE AS d FROM media WHERE namespace = 'video'")
 
 
@@ -548,6 +575,27 @@ def encode_and_pool(spark, sf_dir):
     return vector.withColumn("value", F.round(F.col("value").cast("double"), 4))
 
 
+_USABLE = "vec_id % 11 <> 0 AND vec_id % 7 <> 0 AND (clip IS NOT NULL OR audio IS NOT NULL)"
+
+
+@query(
+    _VIDEO_STAMPS
+    + f""" SELECT path, CASE WHEN {_USABLE} THEN 'processed' WHEN vec_id % 16 = 3 OR (vec_id % 8 = 7 AND vec_id % 3 = 0) THEN 'skipped' ELSE 'processed' END AS outcome,
+  CASE WHEN {_USABLE} THEN NULL WHEN vec_id % 16 = 3 THEN 'can''t read the duration' WHEN vec_id % 8 = 7 AND vec_id % 3 = 0 THEN 'no frame at ' || len(kept) || ' points; no audio at ' || len(kept) || ' points' END AS message
+FROM media LEFT JOIN r ON doc_id = path WHERE namespace = 'video'"""
+)
+def index_videos(spark, sf_dir):
+    """Videos indexed in one flow, with a store that holds some; frames, sound or the duration of others can't be had."""
+    i, null = F.col("vec_id"), F.lit(None).cast("binary")
+    store = Store(spark, new_folder(spark, "store"), version=2, buckets=4)
+    store.replace(_store(spark, sf_dir).withColumn("payload_version", F.lit(2)))
+    videos = media(spark, sf_dir).where("namespace = 'video'")
+    listed = videos.select("path", "dir", "file_size", F.col("updated_at").alias("mtime"), "ordinal", "vec_id")
+    content = lambda bad: lambda samples: samples.withColumn("content", F.when(bad, null).otherwise(F.concat("path", F.col("pos").cast("string")).cast("binary")))
+    frames, sound = Modality(content(i % 8 == 7), ByteEncoder), Modality(content(i % 3 == 0), ByteEncoder)
+    return flow(listed, store, lambda files: files.withColumn("duration", F.when(i % 16 != 3, F.col("file_size") / 10.0)), frames, sound, NOW)
+
+
 @query(
     """, c AS (SELECT CASE vec_id % 10 WHEN 2 THEN NULL WHEN 3 THEN '' ELSE path END AS path, CASE WHEN vec_id % 10 <> 4 THEN file_size END AS file_size FROM media),
 m AS (SELECT *, CASE WHEN path IS NULL OR path = '' THEN 'no path' WHEN file_size IS NULL THEN 'file can''t be read' END AS message FROM c)
