@@ -1,0 +1,62 @@
+import math
+import random
+
+import pytest
+from test_cells import cones
+from test_store import change, frame, stored
+
+from vesper.operators import similarity
+from vesper.sources.store import Store
+
+
+def plain(store, *args, **more):
+    rows = store.read().selectExpr("namespace", "path", "dir", "clip_vector AS clip", "audio_vector AS audio")
+    return sorted((r["path"], round(r["similarity"], 6)) for r in similarity.focus(rows, *args, **more).collect())
+
+
+def found(store, *args, **more):
+    return sorted((r["path"], round(r["similarity"], 6)) for r in store.focus(*args, **more).collect())
+
+
+@pytest.fixture(scope="module")
+def store(spark, tmp_path_factory):
+    rng, s = random.Random(2), Store(spark, str(tmp_path_factory.mktemp("zones") / "s"), buckets=4)
+    images = [change(f"/d{i % 3}/{i}.jpg", clip=v if i % 11 else None) for i, v in enumerate(cones(1, 200, 6, 6, 0.2))]
+    images += [change("/d/inf.jpg", clip=[math.inf] + [0.0] * 5), change("/d/zero.jpg", clip=[0.0] * 6), change("/d/short.jpg", clip=[2.0])]
+    videos = [change(f"/v/{i}.mp4", clip=None if rng.random() < 0.3 else a, audio=None if rng.random() < 0.3 else b, ns="video") for i, (a, b) in enumerate(zip(cones(3, 120, 6, 6, 0.2), cones(4, 120, 4, 4, 0.2), strict=True))]
+    s.upsert(frame(spark, *images, *videos), 1)
+    assert found(s, "/d1/1.jpg", 6.0) == plain(s, "/d1/1.jpg", 6.0)  # without an index
+    assert s.index(12) > 12
+    return s
+
+
+@pytest.mark.parametrize("threshold", [6.0, 0.1, -5.0])
+def test_the_same_items(store, threshold):
+    for path, ns in (("/d1/1.jpg", "image"), ("/d/zero.jpg", "image"), ("/d/inf.jpg", "image"), ("/d/short.jpg", "image"), ("/v/5.mp4", "video"), ("/v/8.mp4", "video"), ("/none", "image"), ("/d0/0.jpg", "image")):
+        assert found(store, path, threshold, namespace=ns) == plain(store, path, threshold, namespace=ns), path
+    assert found(store, "/d1/1.jpg", threshold, "dir") == plain(store, "/d1/1.jpg", threshold, "dir")
+
+
+def test_only_cells_in_reach_are_opened(store):
+    some, every = ({f for f in store.near("/d1/1.jpg", t).inputFiles() if "/index-" in f} for t in (6.0, -100.0))
+    assert 0 < len(some) <= len(every) // 3
+    assert not any("_bucket" in c for c in store.near("/d1/1.jpg", 6.0).columns)
+
+
+def test_what_was_written_since_counts(spark, store):
+    twin = next(r for r in store.read().collect() if r["path"] == "/d1/1.jpg")["clip_vector"]
+    store.upsert(frame(spark, change("/d/twin.jpg", clip=twin), change("/d1/7.jpg", size=99, clip=[0.0] * 6)), 2)
+    assert found(store, "/d1/1.jpg", 6.0) == plain(store, "/d1/1.jpg", 6.0) and "/d/twin.jpg" in dict(found(store, "/d1/1.jpg", 6.0))
+    store.delete_in_dir("/d2")
+    assert found(store, "/d1/1.jpg", 6.0) == plain(store, "/d1/1.jpg", 6.0)
+    number = store._latest()[0]
+    store.index(4)
+    assert store._latest()[0] == number + 1 and found(store, "/d1/1.jpg", 6.0) == plain(store, "/d1/1.jpg", 6.0)
+    for i in range(4):
+        store.upsert(frame(spark, change("/d/more.jpg", size=i)), 10 + i)
+    assert len([n for n in store._names("") if n.startswith("index-")]) == 1 and ("image", "/d/more.jpg") in stored(store)
+
+
+def test_an_empty_store_can_be_indexed(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"))
+    assert s.index() == 0 and found(s, "/x", 0.0) == []

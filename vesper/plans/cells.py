@@ -22,13 +22,15 @@ SLACK = 1e-6
 
 @dataclass(frozen=True)
 class Cells:
-    """rows: with `_cell`. size: rows of each cell; angle and norm: the largest of each cell and vector column; between: angles of the cells' pivots by column."""
+    """rows: with `_cell`. size: rows of each cell; angle and norm: the largest of each cell and vector column; between: angles of the cells' pivots by
+    column; pivots: their directions by column. The last cell, without a pivot, holds rows with a component that isn't finite."""
 
     rows: DataFrame
     size: np.ndarray
     angle: np.ndarray
     norm: np.ndarray
     between: np.ndarray
+    pivots: list[np.ndarray]
 
     def bounds(self) -> np.ndarray:
         """For each vector column and pair of cells, the most that a dot product over the two can be.
@@ -122,7 +124,17 @@ def cells(rows: DataFrame, columns: list[str], n: int) -> Cells:
     between = np.zeros((len(columns), n + 1, n + 1))
     for k, (p, has) in enumerate(zip(pivots, known, strict=True)):
         between[k, :n, :n] = np.where(has[:, None] & has[None, :], _angles(p, p), 0)
-    return Cells(dealt.drop(*extra[1:]), size, stats[: len(columns)], stats[len(columns) :], between)
+    return Cells(dealt.drop(*extra[1:]), size, stats[: len(columns)], stats[len(columns) :], between, pivots)
+
+
+def reach(target: list[float] | None, pivots: np.ndarray, angle: np.ndarray, norm: np.ndarray) -> np.ndarray:
+    """For each cell with a pivot, the most that the dot product of one vector with any of the cell's can be."""
+    unit, length = _unit(np.array([target or [0.0]], np.float64))
+    if not math.isfinite(length[0]):
+        return np.full(len(angle), np.inf)
+    known = pivots.any(axis=1) & unit.any()
+    apart = np.where(known, _angles(unit, pivots)[0], 0) - angle
+    return length[0] * norm * (np.maximum(0, np.cos(np.clip(apart, 0, math.pi))) + SLACK) + 1e-9
 
 
 @dataclass(frozen=True)

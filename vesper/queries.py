@@ -96,6 +96,19 @@ def image_pairs_by_cells(spark, sf_dir):
     return similarity.image_pairs(_clustered(spark, sf_dir), 12.0, block=64).withColumn("similarity", F.round("similarity", 5))
 
 
+@query(
+    _NEAR
+    + """, t AS (SELECT * FROM v WHERE vec_id = 6), f AS (SELECT v.path, $dot(v.v, t.v) AS s FROM v JOIN t ON v.vec_id <> t.vec_id) SELECT path, round(s, 5) AS similarity FROM f WHERE s >= 12"""
+)
+def focus_by_zones(spark, sf_dir):
+    """What is like one item, by a store whose index opens only the cells that can hold it."""
+    store, null = Store(spark, new_folder(spark, "store"), buckets=4), lambda kind: F.lit(None).cast(kind)
+    rows = _clustered(spark, sf_dir).select(F.lit("image").alias("namespace"), "path", F.lit("/img").alias("dir"), F.lit(1).cast("long").alias("file_size"), F.lit(1).cast("long").alias("mtime"), null("string").alias("content_hash"), F.lit(NOW).cast("long").alias("updated_at"), F.lit(1).alias("payload_version"), null("string").alias("thumbnail_path"), F.col("clip").alias("clip_vector"), null("array<float>").alias("audio_vector"))
+    store.replace(rows)
+    store.index(16)
+    return store.focus("/img/000006.jpg", 12.0).withColumn("similarity", F.round("similarity", 5))
+
+
 _VIDEO = """, w AS (SELECT ordinal, path, clip, audio FROM media WHERE namespace = 'video'),
 vp AS (SELECT a.path AS left_path, b.path AS right_path, CASE
     WHEN a.clip IS NOT NULL AND b.clip IS NOT NULL AND a.audio IS NOT NULL AND b.audio IS NOT NULL THEN 0.6::DOUBLE * $dot(a.clip, b.clip) + 0.4::DOUBLE * $dot(a.audio, b.audio)

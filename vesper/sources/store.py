@@ -11,14 +11,18 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import freshness, merge, prune
+from ..config import Similarity
+from ..operators import freshness, merge, prune, similarity
+from ..plans import cells
+from ..plans.cells import cells as deal
 from ..plans.tables import written
-from ..schemas import STORE
+from ..schemas import NAMESPACES, STORE, VECTOR
 from .remove import remove
 
 MANIFESTS, LEASES = "versions", "leases"
@@ -199,7 +203,7 @@ class Store:
         """Deletes the manifests that neither `keep` nor a lease holds, and the folders that only these name."""
         numbers = self._numbers()
         live = {*numbers[-self.keep :], *self._leased()} & set(numbers)
-        named = {n: {*m["data"].values(), *m["made"]} for n, m in ((n, self._manifest(n)) for n in numbers)}
+        named = {n: {*m["data"].values(), *m["made"], *([m["index"]] if "index" in m else [])} for n, m in ((n, self._manifest(n)) for n in numbers)}
         held = set().union(*(named[n] for n in live))
         for n in sorted(set(numbers) - live):
             for name in named[n] - held:
@@ -256,7 +260,7 @@ class Store:
                 self._fs.delete(self._at(name), True)
                 raise Superseded("a later request has taken this one's place")
             data = {b: d for b, d in old["data"].items() if b not in hit} | dict.fromkeys(left, name)
-            if self._latest()[0] == number and self._commit(self._next(number), {"buckets": old["buckets"], "data": data, "made": [name, *made]}):
+            if self._latest()[0] == number and self._commit(self._next(number), {**old, "data": data, "made": [name, *made]}):
                 return
             self._fs.delete(self._at(name), True)
         raise RuntimeError(f"the store was changed by others during each of {ATTEMPTS} attempts")
@@ -340,6 +344,62 @@ class Store:
             every = every.unionByName(part)
         return every
 
+    def index(self, n: int = 256) -> int:
+        """Lays the vectors of the current version out by cells round pivots, and names the index in a new version; returns how many cells hold rows.
+
+        Each namespace and cell is a folder of files; beside them stands a zone map: each cell's centre, and the largest angle to it and norm that its vectors have. Later
+        writes keep the index: what they rewrote is read from the buckets instead, until the next index().
+        """
+        for _ in range(ATTEMPTS):
+            number, old = self._latest()
+            name, zones = f"index-{uuid.uuid4().hex}", {}
+            rows = self._rows(old).where("clip_vector IS NOT NULL OR audio_vector IS NOT NULL")
+            rows = rows.select(F.xxhash64("namespace", "path").alias("ordinal"), "namespace", "path", "dir", F.col("clip_vector").alias("clip"), F.col("audio_vector").alias("audio"), bucket_of(old["buckets"]).alias("_bucket"))
+            for namespace in NAMESPACES:
+                dealt = deal(rows.where(F.col("namespace") == namespace), ["clip", "audio"], n)
+                dealt.rows.drop("ordinal", "namespace").repartition("_cell").write.partitionBy("_cell").parquet(f"{self.root}/{name}/{namespace}")
+                held = np.flatnonzero(dealt.size).tolist()
+                zones[namespace] = {"cells": held, "angle": dealt.angle.tolist(), "norm": dealt.norm.tolist(), "pivots": [p.astype(np.float32).tolist() for p in dealt.pivots]}
+            self._save({"of": old["data"], "zones": zones}, name, "_zones.json")
+            if self._latest()[0] == number and self._commit(self._next(number), {**old, "index": name, "made": []}):
+                return sum(len(z["cells"]) for z in zones.values())
+            self._fs.delete(self._at(name), True)
+        raise RuntimeError(f"the store was changed by others during each of {ATTEMPTS} attempts")
+
+    def near(self, target_path: str, threshold: float, namespace: str = "image", cfg: Similarity = Similarity()) -> DataFrame:
+        """namespace, path, dir, clip, audio of all that can score `threshold` or more against a stored item, itself included; without an index, of all.
+
+        The target is read from its bucket. Of the index, only cells are opened whose bound reaches the threshold; rows that were written since
+        come from their buckets.
+        """
+        manifest = self._latest()[1]
+        shape = ("namespace", "path", "dir", F.col("clip_vector").alias("clip"), F.col("audio_vector").alias("audio"))
+        own = self.spark.createDataFrame([(target_path,)], "path string").select(bucket_of(manifest["buckets"])).first()[0]
+        target = self._rows(manifest, {str(own)}).where((F.col("namespace") == namespace) & (F.col("path") == target_path)).select(*shape)
+        if "index" not in manifest:
+            return self._rows(manifest).where(F.col("namespace") == namespace).select(*shape)
+        found, vector = self._load(manifest["index"], "_zones.json"), target.first()
+        if vector is None:
+            return target
+        zone = found["zones"][namespace]
+        bounds = [cells.reach(vector[c], np.array(p, np.float64).reshape(len(a) - 1, -1), np.array(a[:-1]), np.array(n[:-1])) for c, p, a, n in zip(("clip", "audio"), zone["pivots"], zone["angle"], zone["norm"], strict=True)]
+        most = bounds[0] if namespace == "image" else np.maximum(np.maximum(*bounds), cfg.image_weight * bounds[0] + cfg.audio_weight * bounds[1])
+        open_ = [c for c in zone["cells"] if c >= len(most) or not most[c] < threshold]
+        stale = {b for b in {*manifest["data"], *found["of"]} if manifest["data"].get(b) != found["of"].get(b)}
+        folders = [f"{self.root}/{manifest['index']}/{namespace}/_cell={c}" for c in open_]
+        out = target
+        if folders:
+            schema = T.StructType([f for f in STORE.fields if f.name in ("path", "dir")] + [T.StructField("clip", VECTOR), T.StructField("audio", VECTOR), T.StructField("_bucket", T.IntegerType())])
+            kept = self.spark.read.schema(schema).parquet(*folders).where((F.col("path") != target_path) & ~F.col("_bucket").isin(*[int(b) for b in stale]))
+            out = out.unionByName(kept.select(F.lit(namespace).alias("namespace"), "path", "dir", "clip", "audio"))
+        if stale & set(manifest["data"]):
+            out = out.unionByName(self._rows(manifest, stale).where((F.col("namespace") == namespace) & (F.col("path") != target_path)).select(*shape))
+        return out
+
+    def focus(self, target_path: str, threshold: float, scope: str = "everywhere", namespace: str = "image", cfg: Similarity = Similarity()) -> DataFrame:
+        """similarity.focus() in the store, by near()."""
+        return similarity.focus(self.near(target_path, threshold, namespace, cfg), target_path, threshold, scope, namespace, cfg)
+
     def prune(self, thumbnails: str, max_bytes: int, remover: Callable[[DataFrame], DataFrame] = remove) -> prune.Pruned:
         """prune.enforce() on this store and a folder of thumbnail files; sizes are those of the current version's files and of the folder's."""
 
