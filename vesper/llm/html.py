@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)(?:>|\Z)""", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|itemprop)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|itemprop|style)(?![\w-])\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORD = re.compile(r"[a-z]+")
+_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 #: Their content is no text.
 RAW = frozenset("script style noscript template textarea title iframe svg math object xmp noembed noframes select option button canvas audio video head".split())
 _UNPARSED = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -32,17 +33,23 @@ _NESTED = frozenset("object template svg math canvas audio video".split())
 _SOFT_TAG = re.compile(rf"<(/?)({'|'.join(sorted(_SOFT))})(?=[\s/>])", re.I)
 #: An opening tag closes these open ones, up to the nearest of the second set.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+#: Block tags that lines of text stand in, and that don't make a part of the page by themselves.
+_TEXTUAL = frozenset("p li dt dd h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption ul ol dl center tr th caption tbody thead address hgroup".split())
+#: What a visitor fills in or presses.
+_CONTROLS = frozenset("button input select textarea".split())
 FEATURES = 1 << 14
 _SENTENCE = re.compile(r"[.!?…。](?:[\"'”’»)\]]*)(?:\s|$)")
 
 
 class Node:
-    """An open tag, and what it adds to its ancestors: its name, if none of them has it and it is a block's, and new words of its class, id and role."""
+    """An open tag, and what it adds to its ancestors: its name, if none of them has it and it is a block's, and new words of its class, id and role. Also
+    whether it is hidden, whether a control stands right in it, and the part of the page that it belongs to (see part())."""
 
-    __slots__ = ("parent", "tag", "inline", "new", "score")
+    __slots__ = ("control", "hidden", "inline", "new", "parent", "part", "score", "tag")
 
-    def __init__(self, parent: Node | None, tag: str, inline: bool, new: tuple[str, ...]):
-        self.parent, self.tag, self.inline, self.new, self.score = parent, tag, inline, new, None
+    def __init__(self, parent: Node | None, tag: str, inline: bool, new: tuple[str, ...], hidden: bool = False):
+        self.parent, self.tag, self.inline, self.new, self.hidden = parent, tag, inline, new, hidden
+        self.score, self.part, self.control = None, None, False
 
     def above(self) -> Iterator[Node]:
         node: Node | None = self
@@ -76,6 +83,24 @@ class Block:
         return tuple(n.tag for n in self.node.above() if not n.inline)[::-1] if self.node else ()
 
 
+def part(block: Block) -> Node | None:
+    """The innermost open tag that makes a part of the page: a block tag that isn't textual, nor a cell whose text stands right in it."""
+    node, passed = block.node, []
+    while node is not None and (node.inline or node.tag in _TEXTUAL):
+        if node.part is not None:
+            node = node.part
+            break
+        passed.append(node)
+        node = node.parent
+    if node is not None and node.tag == "td" and block.ends[-1:] == ("td",):
+        while node is not None and node.tag in ("td", "tr", "tbody", "table"):
+            node = node.parent
+        return node
+    for p in passed:
+        p.part = node
+    return node
+
+
 def _unclosed(page: str) -> set[int]:
     """Places of tags such as <button> that no end tag closes: another one opens first, or none follows. What such a tag
     holds ends at the next block."""
@@ -97,7 +122,7 @@ def _unclosed(page: str) -> set[int]:
 def blocks(page: str) -> list[Block]:
     """Leaf blocks with text, in page order. Unclosed and stray tags are borne; the work is linear in the page.
 
-    A block tag ends a block, an inline tag doesn't; <br> is white space. An open <p> ends at any block tag, an open head
+    A block tag ends a block, an inline tag doesn't; <br> is white space. What is hidden, by its attribute or its own style, is no text. An open <p> ends at any block tag, an open head
     at <body>, and at text or a tag that can't stand in a head, and a tag such as <button> that is never closed at the next block tag.
     """
     stack: list[Node] = []
@@ -146,7 +171,7 @@ def blocks(page: str) -> list[Block]:
             words_open.difference_update(node.new)
             if loose and loose[-1] == len(stack):
                 loose.pop()
-            if t in RAW:
+            if t in RAW or node.hidden:
                 depth["raw"] -= 1
             elif t == "a":
                 depth["a"] -= 1
@@ -180,6 +205,8 @@ def blocks(page: str) -> list[Block]:
             pop(len(stack) - 1)
         if loose and tag not in INLINE and tag not in VOID and tag not in RAW and tag != "optgroup":
             pop(loose[0])
+        if tag in _CONTROLS and outer:
+            stack[outer[-1]].control = True
         if tag in VOID:
             if tag in ("br", "img", "input", "wbr"):
                 say(" " if tag != "wbr" else "")
@@ -195,10 +222,12 @@ def blocks(page: str) -> list[Block]:
             if i > max(map(last, within), default=-1):
                 pop(i)
         words: set[str] = set()
+        hidden = False
         if m[3]:
             own = [(k.lower(), a or b or c or "") for k, a, b, c in _ATTRIBUTE.findall(m[3])]
             words = {f"name {w}" for k, v in own if k in ("class", "id", "role", "itemprop") for w in _WORD.findall(v.lower())}
-            if any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in own):
+            hidden = any(k == "hidden" or (k == "style" and _UNSEEN.search(entities.unescape(v))) for k, v in own)
+            if any(k == "aria-hidden" and v == "true" for k, v in own):
                 words.add("name hidden")
         if m[3].rstrip().endswith("/") and tag in ("svg", "math"):
             continue
@@ -209,8 +238,8 @@ def blocks(page: str) -> list[Block]:
             outer.append(len(stack))
         if m.start() in unclosed:
             loose.append(len(stack))
-        stack.append(Node(stack[-1] if stack else None, tag, tag in INLINE, tuple(sorted(new))))
-        if tag in RAW:
+        stack.append(Node(stack[-1] if stack else None, tag, tag in INLINE, tuple(sorted(new)), hidden))
+        if tag in RAW or hidden:
             depth["raw"] += 1
             if tag in _UNPARSED:
                 at = end_of(tag, at)
@@ -230,12 +259,55 @@ def _level(x: float, cuts: tuple[float, ...]) -> int:
     return sum(x >= c for c in cuts)
 
 
+def _linked(b: Block) -> float:
+    return b.linked / max(1, sum(map(len, b.parts)))
+
+
+def around(page: list[Block]) -> list[list[int]]:
+    """Slots of how each block's part (see part()) stands in the page: how much of the page's prose it holds, how dense that is, whether it has controls, whether
+    it is the one with the most, or comes before, between or after the blocks of that one, and the shape of the neighbours."""
+    parts = [part(b) for b in page]
+    words = [b.text().count(" ") + 1 for b in page]
+    linked = [_linked(b) for b in page]
+    prose = [w if x < 0.3 and w >= 5 else 0 for w, x in zip(words, linked, strict=True)]
+    mass, size, paragraphs, links = {}, {}, {}, {}
+    for p, m, w, x in zip(parts, prose, words, linked, strict=True):
+        mass[p] = mass.get(p, 0) + m
+        size[p] = size.get(p, 0) + w
+        links[p] = links.get(p, 0) + w * x
+        paragraphs[p] = paragraphs.get(p, 0) + (m > 0)
+    total = max(1, sum(mass.values()))
+    top = max(mass, key=lambda p: mass[p], default=None)
+    inside = [i for i, p in enumerate(parts) if p is top]
+    first, last = (inside[0], inside[-1]) if inside else (0, -1)
+    telling = any(p is not None and p.tag in ("article", "main") for p in parts)
+    shape = [f"{_level(w, (2, 4, 8, 15, 30))}{_level(x, (0.2, 0.5, 0.9))}" for w, x in zip(words, linked, strict=True)]
+    known: dict = {}
+    out = []
+    for i, p in enumerate(parts):
+        if p not in known:
+            held = mass[p]
+            level = _level(held / total, (0.02, 0.1, 0.25, 0.5, 0.8))
+            own = [f"mass {level}", f"most {p is top and held > 0}", f"paragraphs {_level(paragraphs[p], (1, 2, 3, 6))}", f"prose {_level(held, (1, 15, 30, 60, 120))}", f"dense {_level(links[p] / max(1, size[p]), (0.05, 0.2, 0.5))}", f"control {p.control if p else False}", f"top level {p is None or p.tag == 'body'}"]
+            own += [f"telling {telling} {own[0]}", f"{own[1]} {own[2]}", f"{own[1]} {own[5]}", f"{own[5]} {own[3]}", f"telling {telling} {own[1]}"]
+            known[p] = own
+        side = "in" if p is top else "before" if i < first else "after" if i > last else "between"
+        b = page[i]
+        tag = b.ends[-1] if b.ends else "-"
+        w = _level(words[i], (2, 4, 8, 15, 30))
+        more = [f"side {side}", f"side {side} {known[p][0]}", f"side {side} {w}", f"side {side} {tag}", f"next {shape[i + 1] if i + 1 < len(page) else '-'}", f"prior {shape[i - 1] if i else '-'}", f"{known[p][1]} {tag}"]
+        if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+            more += [f"heads {i + 1 < len(page) and parts[i + 1] is top} {side}", f"heading {tag} {i + 1 < len(page) and parts[i + 1] is p}"]
+        out.append([_slot(x) for x in known[p] + more])
+    return out
+
+
 def _own(page: list[Block], i: int) -> list[int]:
     """Slots of what a block has of its own: its innermost tags, the shape of its text, and whether it is first or last."""
     b = page[i]
     text = b.text()
     n, words = len(text), text.count(" ") + 1
-    linked = b.linked / max(1, sum(map(len, b.parts)))
+    linked = _linked(b)
     shape = (
         f"words {_level(words, (2, 4, 8, 15, 30, 60))}", f"links {_level(linked, (0.01, 0.2, 0.5, 0.9))}", f"ends {_level(len(_SENTENCE.findall(text)), (1, 2, 4))}",
         f"stop {text[-1] in '.!?…:;\"”»'}", f"commas {_level(text.count(',') / words, (0.01, 0.05, 0.2))}", f"digits {_level(sum(map(str.isdigit, text)) / n, (0.05, 0.2, 0.5))}",
@@ -248,8 +320,8 @@ def _own(page: list[Block], i: int) -> list[int]:
 
 
 def features(page: list[Block]) -> list[list[int]]:
-    """Slots of each block's binary features: ancestor tags, the words on them, and its text's shape; nothing of its wording."""
-    return [_own(page, i) + [_slot(x) for node in (b.node.above() if b.node else ()) for x in node.new] for i, b in enumerate(page)]
+    """Slots of each block's binary features: ancestor tags, the words on them, its text's shape, and how its part of the page stands; nothing of its wording."""
+    return [_own(page, i) + near + [_slot(x) for node in (b.node.above() if b.node else ()) for x in node.new] for i, (b, near) in enumerate(zip(page, around(page), strict=True))]
 
 
 def emissions(page: list[Block], model: Crf) -> np.ndarray:
@@ -265,7 +337,7 @@ def emissions(page: list[Block], model: Crf) -> np.ndarray:
             node.score = score = score + model.emit[[_slot(x) for x in node.new]].sum(axis=0) if node.new else score
         return score
 
-    return np.array([model.emit[_own(page, i)].sum(axis=0) + inherited(b.node) for i, b in enumerate(page)]).reshape(-1, 2)
+    return np.array([model.emit[_own(page, i) + near].sum(axis=0) + inherited(b.node) for i, (b, near) in enumerate(zip(page, around(page), strict=True))]).reshape(-1, 2)
 
 
 @dataclass(frozen=True)
