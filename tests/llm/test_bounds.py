@@ -50,3 +50,13 @@ def test_learning_texts_are_bounded_in_bytes(spark):
     drawn = language.sample(docs(spark, rows))
     assert [(lang, x.tolist()) for x, lang in drawn if lang == "zh"] == [("zh", slots.tolist())]
     assert sorted(x.tolist() for x, lang in drawn if lang == "en") == sorted(language.grams(t).tolist() for t in ("the cat sat", "the dog sat"))
+
+
+def test_a_null_id_is_in_no_fold(spark, tmp_path):
+    from vesper.llm import queries
+
+    rows = [(i, "the cat sat on the mat and slept" if i % 2 else "der hund lief in den wald und kam", "en" if i % 2 else "de") for i in range(40)] + [(None, "le chat dort sur la table", "fr"), (None, None, "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = queries.op4_language_id(spark, str(tmp_path)).collect()
+    assert len(out) == 42 and {r["held_out"] for r in out} == {True, False} and all(r["held_out"] is False for r in out if r["doc_id"] is None)
+    assert {r["lang_pred"] for r in out} == {"en", "de", "und"}  # the text of null id isn't learned from

@@ -213,5 +213,10 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", fits: tuple[
 
 
 def remainder(id_col: str = "doc_id"):
-    """Which of four folds a document is in; fold 2 is held out."""
+    """Which of four folds a document is in; fold 2 is held out. A null id is in none (null): it isn't held out, and isn't learned from either."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4
+
+
+def held_out(id_col: str = "doc_id"):
+    """Whether a document is in fold 2; false for a null id."""
+    return F.coalesce(remainder(id_col) == 2, F.lit(False))

@@ -26,7 +26,7 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.fit(docs.where(language.remainder() != 2))
-    return language.identify(docs.select("doc_id", "text", (language.remainder() == 2).alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
+    return language.identify(docs.select("doc_id", "text", language.held_out().alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
