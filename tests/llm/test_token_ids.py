@@ -31,3 +31,13 @@ def test_ids_of_random_strings_equal_the_tokenizer(monkeypatch):
         part = texts[at : at + 5000]
         for t, found, e in zip(part, words(part), encoder.encode_batch(part, add_special_tokens=False), strict=True):
             assert found == np.array(e.ids, "<u4").tobytes(), repr(t)
+
+
+def test_the_cache_is_a_stages_own():
+    encode = packing.WordTokens(packing.tokenizer_path())
+    encode.begin(1)
+    first = list(encode(["some words, and more"]))
+    encode.begin(1)
+    assert encode.cache
+    encode.begin(2)
+    assert not encode.cache and list(encode(["some words, and more"])) == first

@@ -10,6 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,7 +52,7 @@ class WordTokens:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.encoder, self.cache = Tokenizer.from_file(path), {}
+        self.encoder, self.cache, self.stage = Tokenizer.from_file(path), {}, None
         suffix = getattr(self.encoder.model, "end_of_word_suffix", None)
         vocabulary = self.encoder.get_vocab()
         last = [i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]
@@ -60,6 +61,12 @@ class WordTokens:
         if sum(len(t) == 1 + len(suffix or "") for t in vocabulary if suffix and t.endswith(suffix)) >= 256:
             self.ends[last] = True
 
+    def begin(self, stage: object) -> None:
+        """Empties the cache when another stage begins: tasks of one stage share it, and no stage finds words of an earlier one."""
+        if stage != self.stage:
+            self.cache.clear()
+            self.stage = stage
+
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.encoder.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -119,7 +126,7 @@ class WordTokens:
 
 @lru_cache(maxsize=1)
 def word_tokens(path: str) -> WordTokens:
-    """One for each Python worker, so that its tasks share the cache."""
+    """One for each Python worker, so that its tasks share the tokenizer and, within a stage, the cache."""
     return WordTokens(path)
 
 
@@ -133,6 +140,8 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, step, end = word_tokens(path), 4 * limit, np.array([end_id], "<u4").tobytes()
+        task = TaskContext.get()
+        encode.begin(task and task.stageId())
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -195,7 +204,7 @@ def pack(cut_pieces: DataFrame, limit: int = 2048) -> DataFrame:
     order = np.argsort(keys)
     keys, table = keys[order], np.array(planned, np.int64).reshape(-1, 5)[order]
     buckets = pow2(sum(histogram.values()) / 256, 16, 1 << 20)
-    hashed = rows.withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    hashed = rows.withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
     counts = hashed.groupBy("length", "_b").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("length", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
