@@ -7,23 +7,23 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, pow2
 
-#: White space that str.split() knows and tokenisers don't: texts with it are tokenised whole.
-_ODD = "\x1c\x1d\x1e\x1f"
 #: Words of the cache, and the most characters that a word in it has.
 CACHE, LONGEST = 1_000_000, 64
-#: Characters of the texts whose new words are learned together.
-TOGETHER = 1 << 20
-#: Latin letters whose lower case is a letter (U+0130 is left out), and a mark after them.
-_WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,;:!?]?)")
+#: Bytes of the texts that are looked up together, words whose ids are fetched, and words that are encoded, together.
+TOGETHER, FETCHED, LEARNED = 1 << 24, 1 << 18, 1 << 15
+#: Latin letters whose lower case is a letter (U+0130 is left out), and ASCII marks (but the apostrophe) after them.
+_WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:-@\\[-`{-~]*)")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -33,17 +33,19 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class WordTokens:
-    """Token ids of whole texts, as little-endian uint32 bytes, with a cache of words.
+    """Token ids of whole texts, with a cache of words.
 
     For tokenizers that ignore case, drop white space and split at it and between letters and punctuation, so that
-    a text's ids are its words' ids in order, and a word's are those of its lower-case form without the mark at its
-    end, then the mark's. Only a mark after Latin letters is split off: others may lower-case to letters with a combining
-    mark, which takes the mark with it. The cache is emptied when it passes CACHE words, and words of more than LONGEST
+    a text's ids are its words' ids in order, and a word's are those of its lower-case letters, then those of the marks at its
+    end. Only marks after Latin letters are split off: others may lower-case to letters with a combining
+    mark, which takes the mark with it. Texts are split at ASCII white space and each batch's words numbered by Arrow, so that
+    Python sees a word once for each batch; ids lie in one array, and those of a batch are fetched from it by their places.
+    The cache is emptied when it passes CACHE words, and words of more than LONGEST
     characters aren't kept beyond their texts, which bounds a worker's memory.
 
     Where each piece of a word ends with a token that has the vocabulary's end-of-word suffix, new words of letters are
     encoded as one text and cut at those tokens. Each word has one such token at least, so as many as words means one each;
-    if there are more, the words are encoded one by one.
+    if there are more, the words are halved, and at last encoded one by one.
     """
 
     def __init__(self, path: str):
@@ -52,7 +54,7 @@ class WordTokens:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.encoder, self.cache, self.stage = Tokenizer.from_file(path), {}, None
+        self.encoder, self.stage = Tokenizer.from_file(path), None
         suffix = getattr(self.encoder.model, "end_of_word_suffix", None)
         vocabulary = self.encoder.get_vocab()
         last = [i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]
@@ -60,68 +62,127 @@ class WordTokens:
         # every byte must have a token at the end of a word: else a word could go without one
         if sum(len(t) == 1 + len(suffix or "") for t in vocabulary if suffix and t.endswith(suffix)) >= 256:
             self.ends[last] = True
+        self._clear()
+
+    def _clear(self) -> None:
+        """An empty cache: words' numbers, where each number's ids start and how many they are, and all ids."""
+        self.cache: dict[str, int] = {}
+        self.starts, self.sizes, self.ids = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, "<u4")
+        self.n_ids = 0
 
     def begin(self, stage: object) -> None:
         """Empties the cache when another stage begins: tasks of one stage share it, and no stage finds words of an earlier one."""
         if stage != self.stage:
-            self.cache.clear()
+            self._clear()
             self.stage = stage
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.encoder.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        """The ids of words of letters."""
-        data = self._encode([" ".join(words)])[0]
-        stops = 4 * np.flatnonzero(self.ends[np.frombuffer(data, "<u4")]) + 4
-        if len(stops) != len(words) or stops[-1] != len(data):
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, and how many each has."""
+        found = [e.ids for e in self.encoder.encode_batch_fast(words, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _encode_letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As _encode(), for words of letters."""
+        ids = np.array(self.encoder.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) == len(words) and stops[-1] == len(ids):
+            return ids, np.diff(stops, prepend=0)
+        if len(words) <= 64:
             return self._encode(words)
-        stops = stops.tolist()
-        return [data[a:b] for a, b in zip([0, *stops], stops, strict=False)]
-
-    def _learn(self, words: set[str], new: set[str]) -> dict[str, bytes]:
-        """The ids of the new words, those that aren't in the cache, or of all words if it had to be emptied; those of short ones are kept there."""
-        cache = self.cache
-        if len(cache) + 2 * len(new) > CACHE:
-            cache.clear()
-            new = words
-        letters, others, found = {}, [], {}
+        half = len(words) // 2
+        parts = self._encode_letters(words[:half]), self._encode_letters(words[half:])
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    def _add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, n_ids = len(self.cache), self.n_ids
+        self.cache.update(zip(words, range(n, n + len(words)), strict=True))
+        self.starts, self.sizes = (np.resize(x, max(len(x), 2 * (n + len(words)))) if n + len(words) > len(x) else x for x in (self.starts, self.sizes))
+        if n_ids + len(ids) > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * (n_ids + len(ids)))
+        self.starts[n : n + len(words)], self.sizes[n : n + len(words)] = n_ids + np.cumsum(sizes) - sizes, sizes
+        self.ids[n_ids : n_ids + len(ids)] = ids
+        self.n_ids += len(ids)
+
+    def _fetch(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of numbered words in a row, and how many each has."""
+        sizes = self.sizes[numbers]
+        ends = np.cumsum(sizes)
+        places = np.repeat(self.starts[numbers] - ends + sizes, sizes)
+        places += np.arange(len(places))
+        return self.ids[places], sizes
+
+    def _learn(self, new: list[str]) -> None:
+        """Adds words that aren't in the cache, which are all different."""
+        cache, letters, others = self.cache, [], []
+        marked, cores, marks = [], [], []
         for w in new:
             m = _WORD.fullmatch(w)
-            if m:
-                letters[w] = (m[1].lower(), m[2])
+            if m is None:
+                (letters if w.isalpha() else others).append(w)
+                continue
+            core = m[1].lower()
+            if core == w:
+                letters.append(w)
             else:
-                others.append(w)
-        plain = [x for x in {core for core, _ in letters.values()} if x not in cache]
-        for encode, part in ((self._encode_words, plain), (self._encode, others + list(".,;:!?"))):
-            for at in range(0, len(part), 4096):
-                found.update(zip(part[at : at + 4096], encode(part[at : at + 4096]), strict=True))
-        for w, (core, mark) in letters.items():
-            ids = found[core] if core in found else cache[core]
-            found[w] = ids + found[mark] if mark else ids
-        if len(found) < CACHE:
-            cache.update((w, x) for w, x in found.items() if len(w) <= LONGEST)
-        return found
+                marked.append(w)
+                cores.append(core)
+                marks.append(m[2])
+        letters += set(cores).difference(cache, letters)
+        others += set(marks).difference(cache, others)
+        for encode, part in ((self._encode_letters, letters), (self._encode, others)):
+            for at in range(0, len(part), LEARNED):
+                some = part[at : at + LEARNED]
+                self._add(some, *encode(some))
+        if marked:
+            pairs = np.stack([np.fromiter(map(cache.__getitem__, x), np.int64, len(x)) for x in (cores, marks)], axis=1)
+            ids, sizes = self._fetch(pairs.ravel())
+            self._add(marked, ids, sizes.reshape(-1, 2).sum(axis=1))
+
+    def _numbers(self, words: list[str], keep: bool) -> np.ndarray:
+        """The numbers of different words; those that are new are learned."""
+        look = lambda: np.fromiter(map(self.cache.get, words, repeat(-1)), np.int64, len(words))
+        numbers = look()
+        new = [words[i] for i in np.flatnonzero(numbers < 0).tolist()]
+        if keep and len(self.cache) + 2 * len(new) > CACHE:
+            self._clear()
+            new = words
+        if new:
+            self._learn(new)
+            numbers = look()
+        return numbers
+
+    def _group(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        codes, words = coded.indices.to_numpy(), coded.dictionary
+        is_long = pc.greater(pc.utf8_length(words), LONGEST).to_numpy(zero_copy_only=False)
+        numbers = np.empty(len(words), np.int64)
+        numbers[~is_long] = self._numbers(words.filter(pa.array(~is_long)).to_pylist(), True)
+        kept, kept_ids = len(self.cache), self.n_ids
+        if is_long.any():
+            numbers[is_long] = self._numbers(words.filter(pa.array(is_long)).to_pylist(), False)
+        parts = [self._fetch(numbers[codes[at : at + FETCHED]]) for at in range(0, len(codes), FETCHED)]
+        while len(self.cache) > kept:
+            self.cache.popitem()
+        self.n_ids = kept_ids
+        ids = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, "<u4")
+        ends = np.concatenate([[0], *(p[1] for p in parts)]).cumsum()
+        stops = ends[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+        for a, b in pairwise(stops):
+            yield ids[a:b]
+
+    def arrays(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text (null: none), as unsigned 32-bit numbers."""
+        texts = pc.fill_null(texts, "")
+        sizes, at = pc.binary_length(texts).to_numpy().cumsum(), 0
+        while at < len(texts):
+            start = at
+            at = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + TOGETHER, side="right")))
+            yield from self._group(texts.slice(start, at - start))
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        at = 0
-        while at < len(texts):
-            start, size = at, 0
-            while at < len(texts) and (at == start or size + len(texts[at]) <= TOGETHER):
-                size += len(texts[at])
-                at += 1
-            split = [None if any(c in t for c in _ODD) else t.split() for t in texts[start:at]]
-            words = set().union(*(s for s in split if s))
-            before, new = self.cache, words.difference(self.cache)
-            new = self._learn(words, new) if new else {}
-            for text, part in zip(texts[start:at], split, strict=True):
-                if part is None:
-                    yield self._encode([text])[0]
-                    continue
-                try:
-                    yield b"".join(map(before.__getitem__, part))
-                except KeyError:
-                    yield b"".join([new[w] if w in new else before[w] for w in part])
+        """The ids of each text, as little-endian uint32 bytes."""
+        return (ids.tobytes() for ids in self.arrays(pa.array(texts, pa.string())))
 
 
 @lru_cache(maxsize=1)
@@ -143,12 +204,11 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limi
         task = TaskContext.get()
         encode.begin(task and task.stageId())
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids, texts = part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
+            for at in range(0, batch.num_rows, 8192):
+                part = batch.slice(at, 8192)
                 out = []
-                for i, tokens in zip(ids, encode(texts), strict=True):
-                    data = memoryview(tokens + end)
+                for i, tokens in zip(part.column(0).to_pylist(), encode.arrays(part.column(1)), strict=True):
+                    data = memoryview(tokens.tobytes() + end)
                     for k, p in enumerate(range(0, len(data), step)):
                         chunk = data[p : p + step]
                         out.append((i, k, p // 4, len(chunk) // 4, zlib.crc32(chunk), *([bytes(chunk)] if with_ids else [])))
