@@ -386,6 +386,19 @@ def test_mixing_of_one_long_document_equals_sql(spark, tmp_path):
     assert out[5000] == 0 and sum(out.values()) <= 15000
 
 
+def test_mixing_of_many_sources_equals_sql(spark, tmp_path):
+    """A thousand sources, most of one document, so that copies finish together; more sources than ranges."""
+    rng = random.Random(12)
+    rows = [(i, "w " * rng.choice([0, 3, 3, 7]), None, f"host{i % 1000 if i < 1200 else 7}") for i in range(2000)] + [(3000, "w w", None, None)]
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    df = mixing.mix(spark.read.parquet(str(tmp_path / "documents.parquet")))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    expected = {r[0]: r[1:] for r in con.execute(f"SELECT doc_id, size, source_size, target, taken FROM ({mixing.SQL_OP6})").fetchall()}
+    assert {r["doc_id"]: (r["size"], r["source_size"], r["target"], r["taken"]) for r in df.collect()} == expected
+    assert 0 < sum(r[3] for r in expected.values()) <= sum(r[0] for r in expected.values())
+
+
 def test_mixing_null_and_repeated_ids(spark):
     rows = [(None, f"{i} " * (i % 7 + 1), None, "ab"[i % 2]) for i in range(60)] + [(5, "x y z", None, "a"), (5, "x", None, "a"), (5, "x", None, "a")]
     df = docs(spark, rows).coalesce(1).withColumn("row", F.monotonically_increasing_id())

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans import ranges
 from .common import WORD, cut, pow2, running_sum, text_or_empty
 
 ROWS_PER_BUCKET = 256
@@ -15,19 +16,20 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap:
 
     Weights repeat over the ranked sources and share the sum of all sizes. A target stops at `cap` times its
     source's size, and what is left is shared again by weight. Since sources reach their cap in the order of
-    cap / weight, the level at which this ends comes from running sums in that order. The table has one row
-    for each source, which is why its windows need no partitioning.
+    cap / weight, the level at which this ends comes from running sums in that order. Sources are ordered in ranges,
+    so that there may be as many as there are hosts; the sums of sizes and weights and that level reach the driver.
     """
-    per = sized.groupBy("_null", "_src").agg(F.sum("size").alias("source_size"))
-    ranked = per.withColumn("_rank", F.row_number().over(Window.orderBy("_null", "_src")))
-    ranked = ranked.withColumn("_w", F.element_at(F.array(*map(F.lit, weights)), (F.col("_rank") - 1) % len(weights) + 1))
-    ranked = ranked.withColumn("_cap", F.col("source_size") * cap)
-    everything, by_ratio = Window.partitionBy(), Window.orderBy(F.col("_cap") / F.col("_w"), "_rank").rowsBetween(Window.unboundedPreceding, -1)
-    rest = F.sum("source_size").over(everything) - F.coalesce(F.sum("_cap").over(by_ratio), F.lit(0))
-    level = ranked.withColumn("_level", rest / (F.sum("_w").over(everything) - F.coalesce(F.sum("_w").over(by_ratio), F.lit(0))))
-    level = level.withColumn("_capped", F.col("_cap") / F.col("_w") <= F.col("_level"))
-    final = F.max(F.when(~F.col("_capped"), F.col("_level"))).over(everything)
-    target = F.when(F.col("_capped"), F.col("_cap").cast("double")).otherwise(F.col("_w") * final)
+    per = cut(sized.groupBy("_null", "_src").agg(F.sum("size").alias("source_size")))
+    ranked = ranges.running_sum(per, ["_null", "_src"], into="_rank").withColumn("_rank", F.col("_rank") + 1)
+    ranked = ranked.withColumn("_w", F.element_at(F.array(*map(F.lit, weights)), ((F.col("_rank") - 1) % len(weights) + 1).cast("int")))
+    ranked = cut(ranked.withColumn("_cap", F.col("source_size") * cap).withColumn("_ratio", F.col("_cap") / F.col("_w")))
+    size, weight = ranked.agg(F.sum("source_size"), F.sum("_w")).first()
+    level = ranges.running_sum(ranked, ["_ratio", "_rank"], "_cap", "_caps")
+    level = ranges.running_sum(level, ["_ratio", "_rank"], "_w", "_ws")
+    level = level.withColumn("_level", (F.lit(size) - F.col("_caps")) / (F.lit(weight) - F.col("_ws")))
+    level = cut(level.withColumn("_capped", F.col("_ratio") <= F.col("_level")))
+    final = level.where(~F.col("_capped")).agg(F.max("_level")).first()[0]
+    target = F.when(F.col("_capped"), F.col("_cap").cast("double")).otherwise(F.col("_w") * F.lit(final).cast("double"))
     return level.select("_null", "_src", "_rank", "source_size", target.alias("target"))
 
 
@@ -39,8 +41,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     are ranged by (finish time, source, shuffle, id, repeat) and taken up to the first that would pass the budget,
     the sum of all sizes. The order depends on the rows alone, so reruns agree.
 
-    Only three numbers reach the driver: the budget, the finish-time bin in which it runs out, and the last copy
-    taken, found by sorting that one bin. Every copy is in some bin, however late it finishes. Null text: size 0. Size 0: taken 0. Null source: a source of its own,
+    What reaches the driver: the budget, sums over sources, the finish-time bin in which the budget runs out, and the last copy
+    taken, found by sorting that one bin in ranges (255 sampled keys each), as copies of many sources may finish together. Every copy is in some bin, however late it finishes. Null text: size 0. Size 0: taken 0. Null source: a source of its own,
     last. Null and repeated ids: each row counts, told apart by text and by key_col, a key of each row's own. Empty table: no rows. Other columns of docs are ignored.
     """
     shuffle = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.xxhash64(text_col).cast("string"))).cast("binary"))
@@ -68,8 +70,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     over = filled.where(F.col("upto") > budget).agg(F.min_by(F.struct("bin", (F.col("upto") - F.col("s")).alias("before")), "bin").alias("x")).first()["x"]
     taken = F.lit(max_repeats)
     if over is not None:
-        last = binned.where(F.col("bin") == over["bin"]).withColumn("upto", F.sum("size").over(Window.orderBy("key").rowsBetween(Window.unboundedPreceding, 0)))
-        key = last.where(F.col("upto") + over["before"] <= budget).agg(F.max("key").alias("key")).first()["key"]
+        parts = [F.col(f"key.{f.name}").alias(f"by_{f.name}") for f in copies.schema["key"].dataType]
+        edge = cut(binned.where(F.col("bin") == over["bin"]).select("size", "key", *parts))
+        last = ranges.running_sum(edge, [c for c in edge.columns if c.startswith("by_")], "size", "prior")
+        key = last.where(F.col("prior") + F.col("size") + over["before"] <= budget).agg(F.max("key").alias("key")).first()["key"]
         taken = F.lit(0)
         for e in range(max_repeats):
             done = bin_of(finish(e)) < over["bin"]
