@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -75,6 +76,32 @@ def test_cover_edges(spark):
     assert cover.deduplicate(clash).columns == ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "removed"] and cover.deduplicate(clash).count() == 1
 
 
+def test_cover_rows_of_one_id_and_equal_low_bits(spark):
+    docs = [(1, " ".join(f"a{k}" for k in range(40)))] + [(None, " ".join([f"n{i}"] * (i % 30 + 1)) + " " + " ".join(f"a{k}" for k in range(i % 20, i % 20 + 15))) for i in range(1500)]
+    low = spark.createDataFrame(docs, "doc_id long, text string").where("doc_id IS NULL").select(F.xxhash64("text").bitwiseAND(cover.SHORT).alias("x"))
+    assert low.distinct().count() < 1500  # some meet in one group
+    assert found_cover(spark, docs) == plain_cover(docs, 13)
+
+
+def test_cover_shuffles_texts_once(spark, tmp_path):
+    shared = " ".join(f"a{k}" for k in range(20))
+    spark.createDataFrame([(i, f"{i} {shared if i % 2 else ''}") for i in range(50)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = queries.queries()["op11_substring_dedup"](spark, str(tmp_path))
+        assert sum(r["n_removed"] for r in df.collect()) == 24 * 20
+        assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+
+
+@pytest.mark.parametrize("ids", [[5], [7, 7 + (1 << 32) - 1], [7, 7 + (1 << 32)], [-(1 << 63), 0, (1 << 63) - 1], [-3, 4]])
+def test_ids_of_postings(ids):
+    base, data = cover._narrow(np.array(ids))
+    assert cover._widened(base, data, len(ids)).tolist() == ids and len(data) == (4 if max(ids) - min(ids) < 1 << 32 else 8) * len(ids)
+
+
 def test_cover_long_texts_and_pieces(spark):
     rng = random.Random(1)
     words = [f"w{rng.randrange(50)}" for _ in range(400_000)]

@@ -9,10 +9,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pow2, stash
+from .common import pow2
 
 # Perfect difference sets. Every number below the period is a difference of two members, modulo the period.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
@@ -25,7 +25,9 @@ BUCKET, ROW = 1 << 24, 1 << 15
 LAST = (1 << 63) - 1
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
-_POSTED = "bucket int, direct boolean, ids binary, rows binary, counts binary, keys binary, places binary"
+#: The low bits of a row's hash, by which texts are dealt besides their id: rows of one id, as of null ids, don't meet in one group.
+SHORT = (1 << 16) - 1
+_POSTED = "bucket int, direct boolean, base long, ids binary, rows binary, counts binary, keys binary, places binary"
 
 
 def cover_for(length: int) -> tuple[int, tuple[int, ...], int]:
@@ -157,10 +159,9 @@ class _Postings:
             own = ids[doc]
             if self.placed:  # later documents lose the window whatever other batches hold
                 direct, post = own > low, own == low
-            else:  # the smallest and largest id for other batches; every document of the batch is told if they differ
-                direct, post = high > low, np.zeros(len(keys), bool)
-                post[first] = True
-                post[(first + size - 1)[size > 1]] = True
+            else:  # the smallest and largest id for other batches, and every document of the batch is told if they differ; rows of one id must all hear from others
+                direct, post = high > low, high == low
+                post[first] = post[first + size - 1] = True
             spread = (rows[doc].view(np.uint64) & np.uint64(self.buckets - 1)).astype(np.int64)
             yield from self._rows(direct, spread, True, ids, rows, keys, doc, place)
             yield from self._rows(post, (keys[:, 0] & self.mask).astype(np.int64), False, ids, rows, keys, doc, place)
@@ -175,10 +176,20 @@ class _Postings:
             for k in range(a, b, ROW):
                 d = doc[k : min(b, k + ROW)]
                 new = _starts(d)
-                count = np.diff(np.append(new, len(d))).astype("<u4")
-                out.append((int(bucket[k]), direct, ids[d[new]].tobytes(), rows[d[new]].tobytes(), count.tobytes(), keys[k : k + len(d)].tobytes(), place[k : k + len(d)].tobytes() if self.placed else b""))
+                count = np.diff(np.append(new, len(d))).astype("<u2")  # at most ROW
+                out.append((int(bucket[k]), direct, *_narrow(ids[d[new]]), rows[d[new]].astype("<i8" if self.placed else "<u2").tobytes(), count.tobytes(), keys[k : k + len(d)].tobytes(), place[k : k + len(d)].tobytes() if self.placed else b""))
         for k in range(0, len(out), 256):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + 256], strict=True), (pa.int32(), pa.bool_(), *[pa.binary()] * 5), strict=True)], _POSTED.replace(",", "").split()[::2])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + 256], strict=True), (pa.int32(), pa.bool_(), pa.int64(), *[pa.binary()] * 5), strict=True)], _POSTED.replace(",", "").split()[::2])
+
+
+def _narrow(ids: np.ndarray) -> tuple[int, bytes]:
+    """A base, and what ids are more than that: in 4 bytes each, or, where they are too far apart, the ids in 8."""
+    base, most = int(ids.min()), int(ids.max())
+    return (base, (ids - base).astype("<u4").tobytes()) if most - base < 1 << 32 else (0, ids.astype("<i8").tobytes())
+
+
+def _widened(base: int, data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, "<u4" if len(data) == 4 * n else "<i8").astype(np.int64) + base
 
 
 def _packed(keys: np.ndarray, width: int) -> np.ndarray:
@@ -194,15 +205,16 @@ def _unpacked(data: bytes, columns: int, width: int) -> np.ndarray:
 
 
 def _settled(posted: DataFrame, columns: int, width: int, placed: bool) -> DataFrame:
-    """id, row, data of postings that another document settles: their keys, or, if placed, their places where a smaller id has the key.
+    """id, row, data of postings that another document settles: their keys, with the low bits of their row's hash, or, if placed, their places where a smaller id has the key.
 
     A bucket's postings, bounded as buckets grow with the text, are sorted in one task by numpy; direct ones pass through.
     """
 
     def solve(parts: list[tuple]) -> Iterator[tuple]:
-        ids, rows, counts, keys, places = (b"".join(p[i] for p in parts) for i in range(2, 7))
-        count = np.frombuffer(counts, "<u4")
-        ids, rows = np.repeat(np.frombuffer(ids, np.int64), count), np.repeat(np.frombuffer(rows, np.int64), count)
+        rows, counts, keys, places = (b"".join(p[i] for p in parts) for i in range(4, 8))
+        count = np.frombuffer(counts, "<u2")
+        ids = np.repeat(np.concatenate([_widened(p[2], p[3], len(p[5]) // 2) for p in parts]), count)
+        rows = np.repeat(np.frombuffer(rows, "<i8" if placed else "<u2").astype(np.int64), count)
         key = _unpacked(keys, columns, width)
         if parts[0][1]:
             at = np.arange(len(key))
@@ -248,15 +260,19 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["id", "row", "data"])
 
 
-def _per_document(settled: DataFrame) -> DataFrame:
-    """What was found of each document in one row: bounded by its words."""
-    return stash(settled.groupBy("id", "row").agg(F.collect_list("data").alias("data"))).select(F.col("id").alias("_id"), F.col("row").alias("_row"), "data")
+def _with_found(texts: DataFrame, settled: DataFrame, data: str | Column, how: str) -> DataFrame:
+    """texts with `data`, a list of what was found of the rows of their id and low bits.
+
+    Both joins of a run need the same columns of the texts by the same keys, so that Spark shuffles the texts once and reads that twice.
+    """
+    found = settled.groupBy("id", F.col("row").bitwiseAND(SHORT).alias("short")).agg(F.collect_list(data).alias("data")).select(F.col("id").alias("_id"), F.col("short").alias("_short"), "data")
+    return texts.join(found, (F.col("id") == F.col("_id")) & (F.col("short") == F.col("_short")), how).drop("_id", "_short")
 
 
 def earlier(texts: DataFrame, length: int, buckets: int) -> DataFrame:
-    """_id, _row, data: places of the windows of `length` words that also start in a text of smaller id, of (id, row, text) rows.
+    """id, row, data: places of the windows of `length` words that also start in a text of smaller id, of (doc, id, short, row, text) rows.
 
-    1. Anchors are posted at the places of the cover; those of one document only go. 2. Texts that have others are hashed again; every window
+    1. Anchors are posted at the places of the cover; those of one document only go. 2. Texts that have others, or whose id and low bits have, are hashed again; every window
     that holds one at a place of the cover is posted under its 128-bit hash, and lost if the smallest id there is smaller.
     """
 
@@ -264,9 +280,9 @@ def earlier(texts: DataFrame, length: int, buckets: int) -> DataFrame:
         held, size = _Postings(buckets, buckets - 1, (6, 8)[level], bool(level)), 0
         for batch in batches:
             for k in range(batch.num_rows):
-                text = batch.column(2)[k].as_buffer()
-                shared = np.unique(_unpacked(b"".join(batch.column(3)[k].as_py()), 1, 6)) if level else None
-                own = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+                text = batch.column("text")[k].as_buffer()
+                shared = np.unique(_unpacked(b"".join(batch.column("data")[k].as_py()), 1, 6)) if level else None
+                own = batch.column("id")[k].as_py(), batch.column("row" if level else "short")[k].as_py()
                 for before, h in hashed(text.to_pybytes() if text else b"", length - 1):
                     if level:
                         place, keys = windows(before, h, shared, length)
@@ -280,10 +296,9 @@ def earlier(texts: DataFrame, length: int, buckets: int) -> DataFrame:
                         size = 0
         yield from held.sent()
 
-    sent = texts.mapInArrow(lambda b: post(b, 0), _POSTED)
-    shared = _per_document(_settled(sent, 1, 6, False))
-    again = texts.join(shared, (F.col("id") == F.col("_id")) & (F.col("row") == F.col("_row"))).select("id", "row", "text", "data")
-    return _per_document(_settled(again.mapInArrow(lambda b: post(b, 1), _POSTED), 2, 8, True))
+    shared = _settled(texts.select("id", "short", "text").mapInArrow(lambda b: post(b, 0), _POSTED), 1, 6, False)
+    again = _with_found(texts, shared, "data", "inner")
+    return _settled(again.mapInArrow(lambda b: post(b, 1), _POSTED), 2, 8, True)
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, bucket: int = BUCKET, with_kept: bool = True) -> DataFrame:
@@ -294,9 +309,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null text: no words. Shorter texts lose nothing. Long texts are hashed in pieces that overlap, places are 32 bits wide. Empty table: no rows.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).cast("binary").alias("text"))
+    texts = texts.select("doc", "id", F.col("row").bitwiseAND(SHORT).alias("short"), "row", "text")
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    found = earlier(texts.select("id", "row", "text"), length, pow2(total / bucket, 32, 1 << 22))
-    rows = texts.join(found, (F.col("id") == F.col("_id")) & (F.col("row") == F.col("_row")), "left").select("doc", "text", "data")
+    found = earlier(texts, length, pow2(total / bucket, 32, 1 << 22))
+    rows = _with_found(texts, found, F.struct("row", "data"), "left").select("doc", "row", "text", "data")
     names = ["doc", "n_words", "n_removed", "kept_sha256", "kept", "removed"][: 6 if with_kept else 4]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
 
@@ -331,8 +347,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part, out = batch.slice(at, 256), []
-                for doc, text, data in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                    places = np.unique(np.frombuffer(b"".join(data or []), "<u4")).astype(np.int64)
+                for doc, row, text, data in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
+                    places = np.unique(np.frombuffer(b"".join(d["data"] for d in data or [] if d["row"] == row), "<u4")).astype(np.int64)
                     out.append((doc, *one(text or b"", places))[: len(names)])
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=False)], names)
 
